@@ -21,6 +21,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modelframe.llm.langid import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modelframe.llm.sharding import sharded
 
@@ -33,6 +39,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modelframe.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modelframe.llm.packing import packed
 
@@ -40,7 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_sharding, op7_token_counts, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_language_id, op5_sharding, op7_token_counts, op9_decontamination, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
