@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +51,34 @@ def stored(df: DataFrame) -> DataFrame:
 def ascii_words(text: bytes | None) -> list[bytes]:
     """Lower-cases A-Z and splits at space and \\t \\n \\v \\f \\r, as bytes.lower and bytes.split do."""
     return (text or b"").lower().split()
+
+
+def portions(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about `most` bytes of text each, so that memory doesn't follow the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        past = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most))
+        n = max(1, past - at)
+        yield batch.slice(at, n)
+        at += n
+
+
+def distinct_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Chunks between ASCII white space: where each text's begin (and the end), the number of each, the distinct ones."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    coded = lists.flatten().dictionary_encode()
+    starts = lists.offsets.to_numpy()
+    return starts - starts[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def spread(starts: np.ndarray, numbers: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Puts each chunk's values in its place: all values in order, and where each text's begin (and the end).
+
+    values holds those of chunk 0, then of chunk 1 and so on, sizes how many each has.
+    """
+    first = np.cumsum(sizes) - sizes
+    each = sizes[numbers]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    where = np.repeat(first[numbers] - ends[:-1], each) + np.arange(ends[-1])
+    return values[where], ends[starts]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelframe.llm.common import Stored
+from modelframe.llm.common import Stored, distinct_chunks, portions, spread
 
 #: 1: the token counts. Runs, and windows that ignore every fifth, fourth or third token.
 MASKS = ("11111111", "11110111101", "111011101110", "110110110110")
@@ -41,9 +41,15 @@ _LONGEST = max(map(len, MASKS))
 _WORDS = re.compile(r"\w+").findall
 
 
-def tokens(text: str | None) -> np.ndarray:
+def tokens(texts: pa.Array) -> list[np.ndarray]:
+    """The hashes of each text's tokens; every distinct chunk between white space is cut and hashed once."""
+    starts, numbers, chunks = distinct_chunks(texts)
     digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w) for w in _WORDS(text.lower())], np.uint64) if text else np.empty(0, np.uint64)
+    found = [[digest(w) for w in _WORDS(c.lower())] for c in chunks]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    values = np.fromiter((h for own in found for h in own), np.uint64, int(sizes.sum()))
+    flat, begins = spread(starts, numbers, values, sizes)
+    return np.split(flat, begins[1:-1]) if len(texts) else []
 
 
 @lru_cache(maxsize=1)
@@ -84,7 +90,7 @@ def test_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tokens(t.as_py()).view(np.int64) for t in batch.column("text")]
+            found = [t.view(np.int64) for t in tokens(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("item_id").cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["item_id", "tokens"]
             )
@@ -160,12 +166,11 @@ def regions(docs: DataFrame, of_tests: bytes, short_items: bool, bits: int = BIT
             _, b = _places(h[hit], bits)
             return hit[(flat[b >> np.uint64(3)] >> (np.uint8(7) - (b & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
 
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b)):
             rows = []
-            for key_id, key_text, text in zip(
-                batch.column("key_id").to_pylist(), batch.column("key_text").to_pylist(), batch.column("text")
+            for key_id, key_text, t in zip(
+                batch.column("key_id").to_pylist(), batch.column("key_text").to_pylist(), tokens(batch.column("text"))
             ):
-                t = tokens(text.as_py())
                 places, hashes = [], []
                 for m in used:
                     h = seeds(t, m)

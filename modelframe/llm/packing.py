@@ -11,6 +11,7 @@ table gives no rows; extra columns are ignored; a very long text becomes many pi
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -24,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from modelframe.llm.common import Stored
+from modelframe.llm.common import Stored, distinct_chunks, portions, spread
 
-#: Chunks longer than this are not remembered; a worker forgets all once it holds so many.
-LONGEST_KEPT, MOST_KEPT = 48, 400_000
+#: Parts longer than this are not remembered, and a worker remembers so many.
+LONGEST_KEPT, MOST_KEPT = 32, 1_000_000
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[!-&(-@\\[-`{-~]"
+#: A run of letters before white space, a mark or the end; a run of marks before white space, a letter or the end; else all.
+_PARTS = rf"{_LETTERS}+(?=[\t-\r !-&(-@\[-`{{-~]|\Z)|{_MARKS}+(?=[\t-\r A-Za-zÀ-ÖØ-öø-ÿ]|\Z)|[^\t-\r ]+"
 #: Pieces in a cell, on average.
 CELL = 40_000
 #: Rounds of the local search over the underfull bins of a cell.
@@ -36,33 +40,60 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class ChunkTokenizer:
-    """Ids as the tokenizer gives them for whole texts, by chunks between ASCII white space, remembered.
+    """Ids as the tokenizer gives them for whole texts, by chunks that it splits anyway, remembered.
 
-    Right for tokenizers that drop white space and never join what stands on both sides of it.
+    Chunks end at ASCII white space, and between a run of plain letters and a run of ASCII marks or digits; all that
+    stands next to an apostrophe, a character beyond Latin-1 or in a text with the opening of a special string is
+    left whole. Right for tokenizers that drop white space, split letters from marks and mark the ends of words.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_of_word: str = "</w>"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         self.model = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
-        self.chunks = re.compile("[^\t-\r ]+").findall
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        kept, chunks = self.kept, self.chunks(text)
-        fresh = list({c for c in chunks if c not in kept})
-        if fresh:
-            found = self.model.encode_batch_fast(fresh, add_special_tokens=False)
-            new = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(fresh, found)}
-            if len(kept) + len(new) > MOST_KEPT:
-                kept.clear()
-            kept.update((c, b) for c, b in new.items() if len(c) <= LONGEST_KEPT)
-            if any(len(c) > LONGEST_KEPT for c in fresh) or any(c not in kept for c in chunks):
-                get = kept.get
-                return b"".join([new[c] if c in new else get(c) or self._one(c) for c in chunks])
-        return b"".join([kept[c] for c in chunks])
-
-    def _one(self, chunk: str) -> bytes:
-        return np.array(self.model.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        vocabulary = self.model.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(end_of_word)]] = True
+        self.parts = re.compile(_PARTS).findall
+        self.plain = re.compile(f"{_LETTERS}+").fullmatch
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where each text's begin (and the end)."""
+        starts, numbers, chunks = distinct_chunks(texts)
+        kept = self.kept
+        found = list(map(kept.get, chunks))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            cut = [[chunks[k]] if "<|" in chunks[k] else self.parts(chunks[k]) for k in missing]
+            new = self._new({p for own in cut for p in own if p not in kept})
+            for k, own in zip(missing, cut):
+                found[k] = b"".join([new[p] if p in new else kept[p] for p in own])
+                if len(own) > 1:
+                    self._keep(chunks[k], found[k])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return spread(starts, numbers, np.frombuffer(b"".join(found), "<u4"), sizes)
+
+    def _new(self, chunks: set[str]) -> dict[str, bytes]:
+        words = [c for c in chunks if self.plain(c)]
+        new = {}
+        if words:
+            # each is one word to the tokenizer, so their ids part where a word ends
+            ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            flat = ids.tobytes()
+            new = {w: flat[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+            if len(ends) != len(words):
+                raise ValueError("this tokenizer doesn't mark the ends of words")
+        for c in chunks:
+            if c not in new:
+                new[c] = np.array(self.model.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        for c, ids in new.items():
+            self._keep(c, ids)
+        return new
+
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        if len(chunk) <= LONGEST_KEPT and len(self.kept) < MOST_KEPT:
+            self.kept[chunk] = ids
 
 
 @lru_cache(maxsize=2)
@@ -72,21 +103,26 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32) of (doc_id, text)."""
-    end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = chunk_tokenizer(tokenizer_path).encode
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py() or "") + end
-                rows += [
-                    (doc_id, k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step]))
-                    for k, at in enumerate(range(0, len(ids), step))
-                ]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in (p for b in batches for p in portions(b, most=16 << 20)):
+            ids, ends = encode(batch.column("text"))
+            flat = np.insert(ids, ends[1:], end_id)  # one more after each text
+            ends = (ends + np.arange(len(ends))).tolist()
+            rows = [
+                (k, at - a, min(capacity, b - at), zlib.crc32(flat[at : min(at + capacity, b)]), n)
+                for n, a, b in zip(range(len(batch)), ends, ends[1:])
+                for k, at in enumerate(range(a, b, capacity))
+            ]
+            piece, start, length, crc, row = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(row)),
+                    pa.array(piece, pa.int32()),
+                    *(pa.array(c, pa.int64()) for c in (start, length, crc)),
+                ],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
