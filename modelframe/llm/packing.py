@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from modelframe.llm.common import Stored, distinct_chunks, portions, spread
 
@@ -37,12 +37,15 @@ CELL = 40_000
 #: Rounds of the local search over the underfull bins of a cell.
 ROUNDS = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: The byte-level alphabet: bytes that aren't printable in Latin-1 stand 256 and more characters on, in order.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+del _BYTES[32]  # parts the words
 
 
 class ChunkTokenizer:
     """Ids as the tokenizer gives them for whole texts, by chunks that it splits anyway, remembered.
 
-    Chunks end at ASCII white space, and between a run of plain letters and a run of ASCII marks or digits; all that
+    Lower-case byte-level models with marked word ends. Chunks end at ASCII white space, and between a run of plain letters and a run of ASCII marks or digits; all that
     stands next to an apostrophe, a character beyond Latin-1 or in a text with the opening of a special string is
     left whole. Right for tokenizers that drop white space, split letters from marks and mark the ends of words.
     """
@@ -55,6 +58,9 @@ class ChunkTokenizer:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith(end_of_word)]] = True
         self.parts = re.compile(_PARTS).findall
+        # plain words need no normalising but lower case, and are words already: the model alone gives their ids
+        self.bare = Tokenizer(self.model.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.plain = re.compile(f"{_LETTERS}+").fullmatch
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,27 +74,30 @@ class ChunkTokenizer:
             new = self._new({p for own in cut for p in own if p not in kept})
             for k, own in zip(missing, cut):
                 found[k] = b"".join([new[p] if p in new else kept[p] for p in own])
-                if len(own) > 1:
-                    self._keep(chunks[k], found[k])
+            for k in np.array(missing)[np.bincount(numbers, minlength=len(chunks))[missing] > 1].tolist():
+                self._keep(chunks[k], found[k])
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return spread(starts, numbers, np.frombuffer(b"".join(found), "<u4"), sizes)
 
     def _new(self, chunks: set[str]) -> dict[str, bytes]:
-        words = [c for c in chunks if self.plain(c)]
+        plain = [c for c in chunks if self.plain(c)]
         new = {}
-        if words:
+        for words in ([c for c in plain if c.isascii()], [c for c in plain if not c.isascii()]):
+            if not words:
+                continue
             # each is one word to the tokenizer, so their ids part where a word ends
-            ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            joined = " ".join(words).lower()
+            if not joined.isascii():
+                joined = joined.encode().decode("latin-1").translate(_BYTES)
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
             flat = ids.tobytes()
-            new = {w: flat[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+            new |= {w: flat[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
             if len(ends) != len(words):
                 raise ValueError("this tokenizer doesn't mark the ends of words")
         for c in chunks:
             if c not in new:
                 new[c] = np.array(self.model.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        for c, ids in new.items():
-            self._keep(c, ids)
         return new
 
     def _keep(self, chunk: str, ids: bytes) -> None:
@@ -105,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     """Rows (doc_id, piece, start, length, ids_crc32) of (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = chunk_tokenizer(tokenizer_path).encode
-        for batch in (p for b in batches for p in portions(b, most=16 << 20)):
+        for batch in (p for b in batches for p in portions(b, most=8 << 20)):
             ids, ends = encode(batch.column("text"))
             flat = np.insert(ids, ends[1:], end_id)  # one more after each text
             ends = (ends + np.arange(len(ends))).tolist()

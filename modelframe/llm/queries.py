@@ -21,6 +21,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modelframe.llm.html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modelframe.llm.langid import identified
 
@@ -33,6 +39,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modelframe.llm.personal_data import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modelframe.llm.bpe_count import token_counts
 
@@ -52,7 +64,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_language_id, op5_sharding, op7_token_counts, op9_decontamination, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_html_text, op4_language_id, op5_sharding, op6_personal_data, op7_token_counts, op9_decontamination, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
