@@ -28,10 +28,10 @@ def work_dir(spark: SparkSession) -> str:
 class Stored:
     """A DataFrame written as Parquet to the shared folder: a short lineage that outlives lost executors."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, compression: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{work_dir(self.spark)}/stored-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, compression=compression)
 
     @property
     def df(self) -> DataFrame:

@@ -278,9 +278,10 @@ def _top(keys: DataFrame, weighed: DataFrame) -> tuple[np.ndarray, np.ndarray, n
     pairs = keys.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toPandas()
     logs = weighed.where("log IS NOT NULL").groupBy("key").agg(F.sum("log").alias("log")).toPandas()
     counts = np.zeros((256, 256), np.int64)
-    counts[pairs["pair"] >> 8, pairs["pair"] & 255] = pairs["n"]
+    pair, node = pairs["pair"].to_numpy(np.int64), logs["key"].to_numpy(np.int64)
+    counts[pair >> 8, pair & 255] = pairs["n"].to_numpy()
     kids = np.zeros((256, 256))
-    kids[logs["key"] >> 8, logs["key"] & 255] = logs["log"]
+    kids[node >> 8, node & 255] = logs["log"].to_numpy()
     # heap order: decision 1 splits on the first bit, and node u has children 2u and 2u + 1
     total = np.zeros((256, 512), np.int64)
     total[:, 256:] = counts

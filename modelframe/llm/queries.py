@@ -21,6 +21,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op2_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modelframe.llm.context_tree import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modelframe.llm.html_text import extracted
 
@@ -51,6 +57,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modelframe.llm.vector_tree import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modelframe.llm.decontaminate import contamination
 
@@ -64,7 +76,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_html_text, op4_language_id, op5_sharding, op6_personal_data, op7_token_counts, op9_decontamination, op10_best_fit_packing)}
+    found = (
+        op1_simhash_near_dedup,
+        op2_context_tree_score,
+        op3_html_text,
+        op4_language_id,
+        op5_sharding,
+        op6_personal_data,
+        op7_token_counts,
+        op8_nearest_vectors,
+        op9_decontamination,
+        op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

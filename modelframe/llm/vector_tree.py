@@ -24,15 +24,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modelframe.llm.common import Stored
 
 #: Vectors the tree is fitted on at most, children of a node, sample vectors a leaf has at most.
-SAMPLE, BRANCH, LEAF = 20_000, 8, 64
+SAMPLE, BRANCH, LEAF = 20_000, 8, 256
 #: Sample queries for calibration, recall asked of them.
 TRIALS, RECALL = 200, 0.95
-#: Vectors of a part of a leaf, queries of a part of a leaf's visitors.
-PART = 4096
+#: Vectors of a part of a leaf, queries of a part of its visitors.
+PART, VISITORS = 4096, 8192
 _SEED = 7
 
 
@@ -114,8 +115,9 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def taking_part(embeddings: DataFrame) -> DataFrame:
-    """Stored rows (vec_id, v array<double>) that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """Stored rows (vec_id, v) that take part; v as given if its components are float, else double."""
+    single = embeddings.schema["embedding"].dataType == T.ArrayType(T.FloatType())
+    v = F.col("embedding").cast(f"array<{'float' if single else 'double'}>")
     rows = embeddings.select(F.col("vec_id").cast("long"), v.alias("v")).where(
         F.col("vec_id").isNotNull()
         & F.col("v").isNotNull()
@@ -139,16 +141,10 @@ def _top(keys: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.nd
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for rows with vec_id divisible by `every`, the k largest inner products."""
     rows = taking_part(embeddings)
+    kind = rows.schema["v"].dataType.simpleString()
     schema = "query_id long, rank int, vec_id long, score double"
     # of equal vectors the first k + 1 ids can matter to a query; all queries keep their ids
-    distinct = Stored(
-        rows.groupBy("v")
-        .agg(
-            F.slice(F.array_sort(F.collect_list(F.when(F.col("r") <= k + 1, F.col("vec_id")))), 1, k + 1).alias("ids")
-        )
-        if False
-        else _first_ids(rows, k + 1)
-    ).df
+    distinct = Stored(_first_ids(rows, k + 1)).df
     sample = np.array(
         [r["v"] for r in distinct.orderBy(F.xxhash64("v"), "v").select("v").limit(SAMPLE).collect()], np.float64
     )
@@ -164,7 +160,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
 
     index = Stored(
         distinct.select("v", "ids")
-        .mapInArrow(placed, "v array<double>, ids array<long>, leaf int")
+        .mapInArrow(placed, f"v {kind}, ids array<long>, leaf int")
         .withColumn("uid", F.monotonically_increasing_id())
     ).df
     parts_of = index.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
@@ -174,23 +170,26 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [tree.visits(q, most) for q in _vectors(batch.column("v"))] if len(batch) else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))], ["query", "q", "leaves"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("query"), pa.array(found, pa.list_(pa.int32()))], ["query", "leaves"])
 
     asked = Stored(queries.withColumn("query", F.monotonically_increasing_id())).df
+    visits = Stored(
+        asked.select("query", "v").mapInArrow(walk, "query long, leaves array<int>").select("query", F.explode("leaves").alias("leaf"))
+    ).df
+    turns_of = visits.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(VISITORS)).alias("turns"))
+    # a part of a leaf and a part of its visitors meet in one task; every vector is there for every visitor
+    shape = Stored(parts_of.join(turns_of, "leaf")).df
+    until = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     met = (
-        asked.select("query", "v")
-        .mapInArrow(walk, "query long, q array<double>, leaves array<int>")
-        .select("query", "q", F.explode("leaves").alias("leaf"))
-        .join(parts_of, "leaf")
-        .select("query", "q", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        .withColumn("turn", F.pmod(F.xxhash64("query"), F.lit(16)))
+        visits.join(shape, "leaf")
+        .withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")))
+        .select("query", "leaf", "turn", until("parts").alias("part"))
+        .join(asked.select("query", F.col("v").alias("q")), "query")
     )
     held = (
-        index.join(parts_of, "leaf")
-        .select("v", "ids", "leaf", F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part"))
-        .withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+        index.join(shape, "leaf")
+        .withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+        .select("v", "ids", "leaf", "part", until("turns").alias("turn"))
     )
 
     def search(key: tuple, asking: pa.Table, there: pa.Table) -> pa.Table:
