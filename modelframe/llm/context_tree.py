@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,8 +142,9 @@ def _layers(keys: np.ndarray, n: np.ndarray, depths: list[int]) -> tuple[list[La
 
 def text_bytes(texts: pa.Array) -> tuple[list[bytes], pa.Array]:
     """The bytes of each text's canonical form, and the lower-cased texts."""
-    lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    return [b" ".join(t.split()) + b"\n" for t in lower.cast(pa.large_binary()).to_pylist()], lower
+    # in Python: Arrow's own lower-casing goes wrong on slices
+    lower = [(t or b"").lower() for t in texts.cast(pa.large_binary()).to_pylist()]
+    return [b" ".join(t.split()) + b"\n" for t in lower], pa.array(lower, pa.large_binary()).cast(pa.large_string())
 
 
 def byte_keys(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:

@@ -34,6 +34,8 @@ SAMPLE, BRANCH, LEAF = 20_000, 8, 256
 TRIALS, RECALL = 200, 0.95
 #: Vectors of a part of a leaf, queries of a part of its visitors.
 PART, VISITORS = 4096, 8192
+#: Scores by matrix product may differ from exact ones by so much of themselves.
+SLACK = 1e-9
 _SEED = 7
 
 
@@ -169,12 +171,25 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tree.visits(q, most) for q in _vectors(batch.column("v"))] if len(batch) else []
-            yield pa.RecordBatch.from_arrays([batch.column("query"), pa.array(found, pa.list_(pa.int32()))], ["query", "leaves"])
+            if not len(batch):
+                continue
+            asked_ = _vectors(batch.column("v"))
+            found = [tree.visits(q, most) for q in asked_]
+            # what a neighbour scores at least: the sample holds k + 1 as good, the query itself perhaps among them
+            floor = np.full(len(asked_), -np.inf)
+            if len(sample) > k:
+                for at in range(0, len(asked_), 256):
+                    floor[at : at + 256] = np.partition(asked_[at : at + 256] @ sample.T, -k - 1, axis=1)[:, -k - 1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query"), pa.array(floor - SLACK * np.abs(floor).clip(1)), pa.array(found, pa.list_(pa.int32()))],
+                ["query", "floor", "leaves"],
+            )
 
     asked = Stored(queries.withColumn("query", F.monotonically_increasing_id())).df
     visits = Stored(
-        asked.select("query", "v").mapInArrow(walk, "query long, leaves array<int>").select("query", F.explode("leaves").alias("leaf"))
+        asked.select("query", "v")
+        .mapInArrow(walk, "query long, floor double, leaves array<int>")
+        .select("query", "floor", F.explode("leaves").alias("leaf"))
     ).df
     turns_of = visits.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(VISITORS)).alias("turns"))
     # a part of a leaf and a part of its visitors meet in one task; every vector is there for every visitor
@@ -183,7 +198,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
     met = (
         visits.join(shape, "leaf")
         .withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")))
-        .select("query", "leaf", "turn", until("parts").alias("part"))
+        .select("query", "floor", "leaf", "turn", until("parts").alias("part"))
         .join(asked.select("query", F.col("v").alias("q")), "query")
     )
     held = (
@@ -199,16 +214,19 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
         out = []
         for at in range(0, len(asking), 256):
             part = asking.slice(at, 256)
-            scores = products(_vectors(part.column("q").combine_chunks()), x)
-            take = min(k + 1, len(x))
-            best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+            q = _vectors(part.column("q").combine_chunks())
+            rough = q @ x.T
+            least = part.column("floor").to_numpy()
+            if len(x) > k:
+                own = np.partition(rough, -k - 1, axis=1)[:, -k - 1]
+                least = np.maximum(least, own - SLACK * np.abs(own).clip(1))
             # all that tie with the last one taken stay in
-            least = np.take_along_axis(scores, best, axis=1).min(axis=1)
-            who, what = np.nonzero(scores >= least[:, None])
+            who, what = np.nonzero(rough >= least[:, None])
+            exact = products(q[who], x[what])
             sizes = np.fromiter((len(ids[j]) for j in what), np.int64, len(what))
             keys = np.repeat(who, sizes)
             flat = np.array([i for j in what for i in ids[j]], np.int64)
-            value = np.repeat(scores[who, what], sizes)
+            value = np.repeat(exact, sizes)
             rows_ = _top(keys, flat, value, k + 1)
             out.append(pa.table({"query": part.column("query").combine_chunks().take(pa.array(keys[rows_])), "vec_id": flat[rows_], "score": value[rows_]}))
         return pa.concat_tables(out)
@@ -250,10 +268,10 @@ def _first_ids(rows: DataFrame, most: int) -> DataFrame:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, each summed in the order of components, so equal pairs score equal."""
-    out = np.zeros((len(q), len(x)))
+    """Inner product of each row of q with that of x in double precision, summed in the order of components."""
+    out = np.zeros(len(q))
     for d in range(q.shape[1]):
-        out += q[:, d : d + 1] * x[:, d]
+        out += q[:, d] * x[:, d]
     return out
 
 
