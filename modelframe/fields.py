@@ -153,9 +153,10 @@ class GeoField(Field):
 
 @dataclass(frozen=True)
 class Relationship(Field):
-    """A foreign key to another model's single key column."""
+    """A foreign key to a key column of another model, its first unless named."""
 
     model: Any = None
+    key: str = ""
 
     def __post_init__(self) -> None:
         if self.model is None:
@@ -163,7 +164,11 @@ class Relationship(Field):
 
     @property
     def data_type(self) -> T.DataType:
-        return self.model.key_fields()[0].data_type
+        return self.model.fields[self.key_name].data_type
+
+    @property
+    def key_name(self) -> str:
+        return self.key or self.model.key_names()[0]
 
 
 @dataclass(frozen=True)

@@ -120,7 +120,7 @@ class Query:
     def _beyond(self, df: DataFrame, beyond: dict[str, list[tuple[str, Any]]]) -> DataFrame:
         for name, found in beyond.items():
             field = self.model.fields[name]
-            key = field.model.key_names()[0]
+            key = field.key_name
             through = {}
             for path, value in found:
                 if path:

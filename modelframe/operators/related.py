@@ -20,7 +20,7 @@ def expanded(model: type, df: DataFrame, related: dict[type, DataFrame], _seen:
             continue
         if field.model not in related:
             raise QueryError(f"no table of {field.model.__name__} is bound")
-        key = field.model.key_names()[0]
+        key = field.key_name
         there = expanded(field.model, related[field.model], related, _seen | {(model, name)})
         side = there.select(F.col(key).alias("__key"), F.struct(*there.columns).alias("__row"))
         order = df.columns
