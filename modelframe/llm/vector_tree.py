@@ -98,14 +98,15 @@ class Tree:
             todo += [(kid, rows[near == j]) for j, kid in enumerate(kids)]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves that best-bin-first search comes to."""
-        queue, order = [(0.0, 0)], []
-        while queue and len(order) < most:
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first `most` leaves that best-bin-first search comes to; more until they hold `need` vectors."""
+        queue, order, found = [(0.0, 0)], [], 0
+        while queue and (len(order) < most or found < need):
             _, node = heapq.heappop(queue)
             kids = self.kids[node]
             if not kids:
                 order.append(self.leaf_no[node])
+                found += int(held[order[-1]]) if held is not None else 0
                 continue
             for kid, score in zip(kids, self.centre_of[kids] @ q):
                 heapq.heappush(queue, (-float(score), kid))
@@ -153,6 +154,8 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
     if not len(sample):
         return embeddings.sparkSession.createDataFrame([], schema)
     tree = Tree(sample)
+    leaf_of = tree.assign(sample)
+    held_by = np.bincount(leaf_of, minlength=tree.leaves())
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,12 +177,13 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
             if not len(batch):
                 continue
             asked_ = _vectors(batch.column("v"))
-            found = [tree.visits(q, most) for q in asked_]
-            # what a neighbour scores at least: the sample holds k + 1 as good, the query itself perhaps among them
+            found = [tree.visits(q, most, held_by, k + 1) for q in asked_]
+            # what a neighbour scores at least: the visited leaves hold k + 1 of the sample as good, perhaps the query too
             floor = np.full(len(asked_), -np.inf)
-            if len(sample) > k:
-                for at in range(0, len(asked_), 256):
-                    floor[at : at + 256] = np.partition(asked_[at : at + 256] @ sample.T, -k - 1, axis=1)[:, -k - 1]
+            for i, (q, leaves) in enumerate(zip(asked_, found)):
+                scores = (sample @ q)[np.isin(leaf_of, leaves)]
+                if len(scores) > k:
+                    floor[i] = np.partition(scores, -k - 1)[-k - 1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("query"), pa.array(floor - SLACK * np.abs(floor).clip(1)), pa.array(found, pa.list_(pa.int32()))],
                 ["query", "floor", "leaves"],
