@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from modelframe.llm.common import Stored, distinct_chunks, portions, spread
 from modelframe.llm.langid import remainder
 
-#: Bytes of context, bytes of text in a block.
-DEPTH, BLOCK = 5, 32 << 20
+#: Bytes of context, bytes of text in a block and of a block at a time.
+DEPTH, BLOCK, PORTION = 5, 32 << 20, 3 << 20
 _END = 0x0A
 #: Keys of words lie above those of contexts, which take 8 * (DEPTH + 1) bits.
 _WORD = 1 << 62
@@ -173,6 +173,33 @@ def word_keys(lower: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, flat, ends
 
 
+class Lookup:
+    """Where each of many keys stands among distinct ones, all of which are there: hashed, losers of a slot hashed anew."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.levels = keys, []
+        rest, factor = np.arange(len(keys), dtype=np.int32), 0x9E3779B97F4A7C15
+        while len(rest):
+            shift = np.uint64(64 - max(4, int(2 * len(rest)).bit_length()))
+            slots = np.zeros(1 << int(64 - shift), np.int32)
+            at = (keys[rest] * np.uint64(factor)) >> shift
+            slots[at] = rest
+            self.levels.append((np.uint64(factor), shift, slots))
+            rest = rest[slots[at] != rest]
+            factor = (factor * 0xBF58476D1CE4E5B9 + 2) % (1 << 64) | 1
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        factor, shift, slots = self.levels[0]
+        out = slots[(wanted * factor) >> shift]
+        rest = np.flatnonzero(self.keys[out] != wanted)
+        for factor, shift, slots in self.levels[1:]:
+            if not len(rest):
+                break
+            out[rest] = slots[(wanted[rest] * factor) >> shift]
+            rest = rest[self.keys[out[rest]] != wanted[rest]]
+        return out
+
+
 def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own, at = np.unique(keys, return_inverse=True)
     return own, np.bincount(at, weights=n, minlength=len(own)).astype(np.int64)
@@ -182,11 +209,12 @@ def _block_keys(texts: pa.Array, taught: np.ndarray) -> list[tuple[np.ndarray, n
     """(keys, training count) of the distinct contexts with their byte, and of the distinct words, of some texts."""
     raw, lower = text_bytes(texts)
     keys, begins = byte_keys(raw)
-    in_training = np.repeat(taught, np.diff(np.append(begins, len(keys))))
-    distinct = np.unique(keys)
-    n = np.zeros(len(distinct), np.int64)
-    own, count = np.unique(keys[in_training], return_counts=True)
-    n[np.searchsorted(distinct, own)] = count
+    in_training = np.repeat(taught.astype(np.uint64), np.diff(np.append(begins, len(keys))))
+    # one sort finds the distinct keys and counts those in training, whose lowest bit is set
+    both = np.sort((keys << np.uint64(1)) | in_training)
+    first = np.flatnonzero(np.concatenate([[True], both[1:] >> np.uint64(1) != both[:-1] >> np.uint64(1)]))
+    distinct = both[first] >> np.uint64(1)
+    n = np.add.reduceat((both & np.uint64(1)).view(np.int64), first)
     words, numbers, ends = word_keys(lower)
     of_words = np.bincount(numbers, weights=np.repeat(taught, np.diff(ends)), minlength=len(words)).astype(np.int64)
     return [
@@ -228,7 +256,7 @@ def _listed(rows: DataFrame) -> DataFrame:
                     )
                 part.clear()
 
-        for batch in (p for b in batches for p in portions(b)):
+        for batch in (p for b in batches for p in portions(b, most=PORTION)):
             blocks = batch.column("block").to_numpy()
             edges = np.flatnonzero(np.diff(blocks)) + 1
             for a, b in zip([0, *edges], [*edges, len(blocks)]):
@@ -341,12 +369,12 @@ def scored(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
         split = int(np.searchsorted(keys, _WORD))
         byte_at, byte_lp, word_at, word_n = keys[:split].view(np.uint64), lp[:split], keys[split:], np.nan_to_num(n[split:]).astype(np.int64)
         word_log = np.log10((word_n + 0.5) / (every + 0.5 * (distinct + 1)))
-        end = int(np.searchsorted(word_at, _END_KEY))
+        end, there = int(np.searchsorted(word_at, _END_KEY)), Lookup(byte_at)
         out = []
-        for batch in (p for b in texts.combine_chunks().to_batches() for p in portions(b)):
+        for batch in (p for b in texts.to_batches() for p in portions(b, most=PORTION)):
             raw, lower = text_bytes(batch.column("text"))
             own, begins = byte_keys(raw)
-            sums = np.add.reduceat(byte_lp[np.searchsorted(byte_at, own)], begins)
+            sums = np.add.reduceat(byte_lp[there.find(own)], begins)
             words, numbers, ends = word_keys(lower)
             at = np.searchsorted(word_at, words)
             n_words = np.diff(ends)
