@@ -99,18 +99,19 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+@lru_cache(maxsize=256)
+def _shingles(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes((text or "").encode("utf-8", "replace"), WIDTH))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts (node, text) are at least this similar."""
 
-    @lru_cache(maxsize=256)
-    def shingles(text: str | None) -> np.ndarray:
-        return np.unique(shingle_hashes((text or "").encode("utf-8", "replace"), WIDTH))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for ta, tb in zip(batch.column("text_a"), batch.column("text_b")):
-                sa, sb = shingles(ta.as_py()), shingles(tb.as_py())
+                sa, sb = _shingles(ta.as_py()), _shingles(tb.as_py())
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 keep.append(both >= similarity * (len(sa) + len(sb) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -298,7 +298,7 @@ class Finder:
             base.append(base_spans(text))
             if self.all_windows or _ANCHOR.search(text):
                 windows += [(n, a) for a in _starts(len(text)) if self.all_windows or _ANCHOR.search(text, a, a + WINDOW)]
-        tags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        decoded: dict[int, dict[int, np.ndarray]] = {}
         for at in range(0, len(windows), 512):
             part = windows[at : at + 512]
             x = np.zeros((len(part), WINDOW), np.int64)
@@ -306,18 +306,27 @@ class Finder:
                 own = _class(texts[n][a : a + WINDOW])
                 x[k, : len(own)] = own
             for (n, a), found in zip(part, self.tagger.decode(x)):
-                size = len(texts[n])
-                if n not in tags:
-                    tags[n] = np.zeros(size, np.int8), np.full(size, -1, np.int16)
-                tag, depth = tags[n]
-                end = min(a + WINDOW, size)
-                i = np.arange(a, end)
-                # how far inside the window; the text's own ends are no edges
-                inside = np.minimum(i - a if a else np.full(len(i), WINDOW), end - 1 - i if end < size else WINDOW)
-                better = inside > depth[a:end]
-                tag[a:end][better] = found[: end - a][better]
-                depth[a:end][better] = inside[better]
-        return [(own, self._added(texts[n], tags[n][0], own) if n in tags else []) for n, own in enumerate(base)]
+                if _ANCHOR.search(texts[n], a, a + WINDOW):
+                    decoded.setdefault(n, {})[a] = found
+        tags = {n: self._reconciled(len(texts[n]), own) for n, own in decoded.items()}
+        return [(own, self._added(texts[n], tags[n], own) if n in tags else []) for n, own in enumerate(base)]
+
+    @staticmethod
+    def _reconciled(size: int, decoded: dict[int, np.ndarray]) -> np.ndarray:
+        """One tag for each position, from the window in which it lies deepest, the first of several."""
+        tag, depth = np.zeros(size, np.int8), np.full(size, -1, np.int16)
+        for a in _starts(size):
+            # windows that stay outside throughout count too where they reach into others
+            if not any(abs(a - other) < WINDOW for other in decoded):
+                continue
+            end = min(a + WINDOW, size)
+            i = np.arange(a, end)
+            # how far inside the window; the text's own ends are no edges
+            inside = np.minimum(i - a if a else np.full(len(i), WINDOW), end - 1 - i if end < size else WINDOW)
+            better = inside > depth[a:end]
+            tag[a:end][better] = decoded[a][: end - a][better] if a in decoded else 0
+            depth[a:end][better] = inside[better]
+        return tag
 
     @staticmethod
     def _added(text: str, tag: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
