@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -379,8 +380,6 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
 def redacted(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """docs with each span of personal data in text replaced by its kind in angle brackets; n_chars follows if there is one."""
-    import pandas as pd
-
     finder = Finder(tagger or trained(docs))
 
     @F.pandas_udf("string")
