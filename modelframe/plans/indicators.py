@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from modelframe.functions import hilbert
@@ -16,8 +16,32 @@ from modelframe.plans.timeseries import HOURLY, hourly
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 PLACES = 6
-W = Window.partitionBy("event_type").orderBy("bucket")
-O, H, L, C, V = (F.col(c) for c in ("open", "high", "low", "close", "volume"))
+
+# made when asked for: SQL and names are there without a session
+def W() -> WindowSpec:
+    return Window.partitionBy("event_type").orderBy("bucket")
+
+
+def O() -> Column:  # noqa: E743
+    return F.col("open")
+
+
+def H() -> Column:
+    return F.col("high")
+
+
+def L() -> Column:
+    return F.col("low")
+
+
+def C() -> Column:
+    return F.col("close")
+
+
+def V() -> Column:
+    return F.col("volume")
+
+
 SMA_PERIODS = (9, 20, 26, 30, 50, 52, 60, 120, 200)
 
 _OVER = "(PARTITION BY event_type ORDER BY bucket)"
@@ -50,53 +74,53 @@ def register(name: str, sql: str | None, f: Callable[[DataFrame], DataFrame]) ->
         SQL[name] = sql
 
 
-def windowed(name: str, sql: dict[str, str], columns: dict[str, Column], source: str = HOURLY) -> None:
-    register(name, _sql(source, **sql), lambda df: rounded(df, **columns))
+def windowed(name: str, sql: dict[str, str], columns: Callable[[], dict[str, Column]], source: str = HOURLY) -> None:
+    register(name, _sql(source, **sql), lambda df: rounded(df, **columns()))
 
 
 # -- fixed look-back
 
-windowed("ind_sma", {"sma": _sma(9)}, {"sma": win.sma(C, W, 9)})
-windowed("sma_all_periods", {f"sma_{n}": _sma(n) for n in SMA_PERIODS}, {f"sma_{n}": win.sma(C, W, n) for n in SMA_PERIODS})
+windowed("ind_sma", {"sma": _sma(9)}, lambda: {"sma": win.sma(C(), W(), 9)})
+windowed("sma_all_periods", {f"sma_{n}": _sma(n) for n in SMA_PERIODS}, lambda: {f"sma_{n}": win.sma(C(), W(), n) for n in SMA_PERIODS})
 windowed(
     "ind_wma",
     {"wma": "(" + " + ".join(f"{30 - k} * lag(close, {k}) OVER {_OVER}" for k in range(30)) + ") / 465"},
-    {"wma": win.wma(C, W, 30)},
+    lambda: {"wma": win.wma(C(), W(), 30)},
 )
 _SD = _full(5, f"stddev_pop(close) OVER {_frame(5)}")
 _BANDS = {"upper": f"{_sma(5)} + 2 * {_SD}", "middle": _sma(5), "lower": f"{_sma(5)} - 2 * {_SD}"}
-windowed("ind_bbands", _BANDS, dict(zip(("upper", "middle", "lower"), win.bbands(C, W))))
+windowed("ind_bbands", _BANDS, lambda: dict(zip(("upper", "middle", "lower"), win.bbands(C(), W()))))
 _WIDTH = f"(4 * {_SD}) / {_sma(5)}"
-windowed("bbands_width", {"width": _WIDTH}, {"width": win.bbands_width(*win.bbands(C, W))})
+windowed("bbands_width", {"width": _WIDTH}, lambda: {"width": win.bbands_width(*win.bbands(C(), W()))})
 
 
 def _trima(df: DataFrame) -> DataFrame:
     a, b = win.trima_lengths(30)
-    return rounded(df.withColumn("first", win.sma(C, W, a)), trima=win.sma(F.col("first"), W, b))
+    return rounded(df.withColumn("first", win.sma(C(), W(), a)), trima=win.sma(F.col("first"), W(), b))
 
 
 register("ind_trima", _sql(f"(SELECT *, {_sma(15)} AS first FROM {HOURLY})", trima=_sma(16, "first")), _trima)
 windowed(
     "ind_midprice",
     {"midprice": _full(14, f"(max(high) OVER {_frame(14)} + min(low) OVER {_frame(14)}) / 2")},
-    {"midprice": win.midprice(H, L, W)},
+    lambda: {"midprice": win.midprice(H(), L(), W())},
 )
-windowed("ind_apo", {"apo": f"{_sma(12)} - {_sma(26)}"}, {"apo": win.apo(C, W)})
-windowed("ind_ppo", {"ppo": f"100 * ({_sma(12)} - {_sma(26)}) / {_sma(26)}"}, {"ppo": win.ppo(C, W)})
+windowed("ind_apo", {"apo": f"{_sma(12)} - {_sma(26)}"}, lambda: {"apo": win.apo(C(), W())})
+windowed("ind_ppo", {"ppo": f"100 * ({_sma(12)} - {_sma(26)}) / {_sma(26)}"}, lambda: {"ppo": win.ppo(C(), W())})
 _NUMBERED = f"(SELECT *, row_number() OVER {_OVER} AS bar_no FROM {HOURLY})"
 _DOWN = _full(15, f"100.0::DOUBLE * (14 - (bar_no - arg_max(bar_no, (-low, bar_no)) OVER {_frame(15)})) / 14", "bar_no")
 _UP = _full(15, f"100.0::DOUBLE * (14 - (bar_no - arg_max(bar_no, (high, bar_no)) OVER {_frame(15)})) / 14", "bar_no")
 
 
 def _aroon(df: DataFrame) -> DataFrame:
-    df = df.withColumn("at", F.row_number().over(W))
-    down, up = win.aroon(H, L, F.col("at"), W)
+    df = df.withColumn("at", F.row_number().over(W()))
+    down, up = win.aroon(H(), L(), F.col("at"), W())
     return df.withColumns({"down": down, "up": up})
 
 
 register("ind_aroon", _sql(_NUMBERED, down=_DOWN, up=_UP), lambda df: rounded(_aroon(df), down=F.col("down"), up=F.col("up")))
 register("ind_aroonosc", _sql(_NUMBERED, aroonosc=f"({_UP}) - ({_DOWN})"), lambda df: rounded(_aroon(df), aroonosc=F.col("up") - F.col("down")))
-windowed("ind_bop", {"bop": "CASE WHEN high = low THEN 0.0::DOUBLE ELSE (close - open) / (high - low) END"}, {"bop": win.bop(O, H, L, C)})
+windowed("ind_bop", {"bop": "CASE WHEN high = low THEN 0.0::DOUBLE ELSE (close - open) / (high - low) END"}, lambda: {"bop": win.bop(O(), H(), L(), C())})
 _TYPICAL = f"(SELECT *, (high + low + close) / 3 AS tp FROM {HOURLY})"
 _CCI = (
     f"(SELECT event_type, bucket, tp, avg(tp) OVER {_frame(14)} AS m, list(tp) OVER {_frame(14)} AS l FROM {_TYPICAL})"
@@ -104,7 +128,7 @@ _CCI = (
 register(
     "ind_cci",
     _sql(_CCI, cci="CASE WHEN len(l) = 14 THEN coalesce((tp - m) / nullif(0.015::DOUBLE * list_sum(list_transform(l, lambda x: abs(x - m))) / 14, 0), 0) END"),
-    lambda df: rounded(df.withColumn("tp", (H + L + C) / 3), cci=win.cci(F.col("tp"), W)),
+    lambda df: rounded(df.withColumn("tp", (H() + L() + C()) / 3), cci=win.cci(F.col("tp"), W())),
 )
 _FLOW = (
     f"(SELECT *, CASE WHEN tp > p THEN tp * volume WHEN tp < p THEN -tp * volume WHEN p IS NOT NULL THEN 0.0::DOUBLE END AS flow FROM "
@@ -113,8 +137,8 @@ _FLOW = (
 
 
 def _mfi(df: DataFrame) -> DataFrame:
-    df = df.withColumn("tp", (H + L + C) / 3)
-    return rounded(df.withColumn("flow", win.money_flow(F.col("tp"), V, W)), mfi=win.mfi(F.col("flow"), W))
+    df = df.withColumn("tp", (H() + L() + C()) / 3)
+    return rounded(df.withColumn("flow", win.money_flow(F.col("tp"), V(), W())), mfi=win.mfi(F.col("flow"), W()))
 
 
 register(
@@ -123,30 +147,30 @@ register(
     _mfi,
 )
 _LAG = f"lag(close, 10) OVER {_OVER}"
-windowed("ind_mom", {"mom": f"close - {_LAG}"}, {"mom": win.mom(C, W)})
-windowed("ind_roc", {"roc": f"100 * (close / {_LAG} - 1)"}, {"roc": win.roc(C, W)})
-windowed("ind_rocp", {"rocp": f"close / {_LAG} - 1"}, {"rocp": win.rocp(C, W)})
-windowed("ind_rocr", {"rocr": f"close / {_LAG}"}, {"rocr": win.rocr(C, W)})
+windowed("ind_mom", {"mom": f"close - {_LAG}"}, lambda: {"mom": win.mom(C(), W())})
+windowed("ind_roc", {"roc": f"100 * (close / {_LAG} - 1)"}, lambda: {"roc": win.roc(C(), W())})
+windowed("ind_rocp", {"rocp": f"close / {_LAG} - 1"}, lambda: {"rocp": win.rocp(C(), W())})
+windowed("ind_rocr", {"rocr": f"close / {_LAG}"}, lambda: {"rocr": win.rocr(C(), W())})
 _K = (
     f"(SELECT *, {_full(5, f'coalesce(100 * (close - min(low) OVER {_frame(5)}) / nullif(max(high) OVER {_frame(5)} - min(low) OVER {_frame(5)}, 0), 0)')} AS k FROM {HOURLY})"
 )
 
 
 def _stoch(df: DataFrame) -> DataFrame:
-    df = df.withColumn("k", win.fast_k(H, L, C, W)).withColumn("slow_k", win.sma(F.col("k"), W, 3))
-    return rounded(df, slow_k=F.col("slow_k"), slow_d=win.sma(F.col("slow_k"), W, 3))
+    df = df.withColumn("k", win.fast_k(H(), L(), C(), W())).withColumn("slow_k", win.sma(F.col("k"), W(), 3))
+    return rounded(df, slow_k=F.col("slow_k"), slow_d=win.sma(F.col("slow_k"), W(), 3))
 
 
 register("ind_stoch", _sql(f"(SELECT *, {_sma(3, 'k')} AS sk FROM {_K})", slow_k="sk", slow_d=_sma(3, "sk")), _stoch)
 register(
     "ind_stochf",
     _sql(_K, fast_k="k", fast_d=_sma(3, "k")),
-    lambda df: (lambda f: rounded(f, fast_k=F.col("k"), fast_d=win.sma(F.col("k"), W, 3)))(df.withColumn("k", win.fast_k(H, L, C, W))),
+    lambda df: (lambda f: rounded(f, fast_k=F.col("k"), fast_d=win.sma(F.col("k"), W(), 3)))(df.withColumn("k", win.fast_k(H(), L(), C(), W()))),
 )
 windowed(
     "ind_willr",
     {"willr": _full(14, f"coalesce(-100 * (max(high) OVER {_frame(14)} - close) / nullif(max(high) OVER {_frame(14)} - min(low) OVER {_frame(14)}, 0), 0)")},
-    {"willr": win.willr(H, L, C, W)},
+    lambda: {"willr": win.willr(H(), L(), C(), W())},
 )
 _RANGES = (
     f"(SELECT *, CASE WHEN p IS NOT NULL THEN close - least(low, p) END AS bp, CASE WHEN p IS NOT NULL THEN greatest(high, p) - least(low, p) END AS tr "
@@ -156,17 +180,17 @@ _AVG = {n: f"coalesce(sum(bp) OVER {_frame(n)} / nullif(sum(tr) OVER {_frame(n)}
 
 
 def _ultosc(df: DataFrame) -> DataFrame:
-    df = df.withColumns({"bp": win.buying_pressure(L, C, W), "tr": win.true_range(H, L, C, W)})
-    return rounded(df, ultosc=win.ultosc(F.col("bp"), F.col("tr"), W))
+    df = df.withColumns({"bp": win.buying_pressure(L(), C(), W()), "tr": win.true_range(H(), L(), C(), W())})
+    return rounded(df, ultosc=win.ultosc(F.col("bp"), F.col("tr"), W()))
 
 
 register("ind_ultosc", _sql(_RANGES, ultosc=_full(28, f"100 * (4 * {_AVG[7]} + 2 * {_AVG[14]} + {_AVG[28]}) / 7", "tr")), _ultosc)
 
 
 def _squeeze(df: DataFrame) -> DataFrame:
-    upper, middle, lower = win.bbands(C, W)
+    upper, middle, lower = win.bbands(C(), W())
     df = df.withColumns({"upper": upper, "lower": lower, "width": F.round(win.bbands_width(upper, middle, lower), PLACES)})
-    return df.select("event_type", "bucket", win.squeeze(F.col("width"), C, F.col("upper"), F.col("lower"), W).alias("trend"))
+    return df.select("event_type", "bucket", win.squeeze(F.col("width"), C(), F.col("upper"), F.col("lower"), W()).alias("trend"))
 
 
 register(
@@ -280,8 +304,8 @@ def _rsi_bars(df: DataFrame) -> DataFrame:
 
 def _stochrsi(df: DataFrame) -> DataFrame:
     r = F.col("rsi")
-    bars = _rsi_bars(df).withColumn("k", win.fast_k(r, r, r, W, 5))
-    return rounded(bars, fast_k=F.col("k"), fast_d=win.sma(F.col("k"), W, 3))
+    bars = _rsi_bars(df).withColumn("k", win.fast_k(r, r, r, W(), 5))
+    return rounded(bars, fast_k=F.col("k"), fast_d=win.sma(F.col("k"), W(), 3))
 
 
 _RSI_ROWS = f"({_unlist(_RSI, rsi='r').replace(f', {PLACES}) END', ', 15) END')})"
