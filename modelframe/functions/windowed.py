@@ -120,7 +120,7 @@ def fast_k(h: Column, low: Column, c: Column, w: WindowSpec, n: int = 5) -> Colu
 
 def willr(h: Column, low: Column, c: Column, w: WindowSpec, n: int = 14) -> Column:
     top, bottom = _over(F.max, h, w, n), _over(F.min, low, w, n)
-    return F.when(top.isNotNull(), F.coalesce(-100 * F.try_divide(top - c, top - bottom), F.lit(0.0)))
+    return F.when(top.isNotNull(), F.coalesce(100 * F.try_divide(c - top, top - bottom), F.lit(0.0)))
 
 
 def true_range(h: Column, low: Column, c: Column, w: WindowSpec) -> Column:

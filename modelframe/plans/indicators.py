@@ -169,7 +169,7 @@ register(
 )
 windowed(
     "ind_willr",
-    {"willr": _full(14, f"coalesce(-100 * (max(high) OVER {_frame(14)} - close) / nullif(max(high) OVER {_frame(14)} - min(low) OVER {_frame(14)}, 0), 0)")},
+    {"willr": _full(14, f"coalesce(100 * (close - max(high) OVER {_frame(14)}) / nullif(max(high) OVER {_frame(14)} - min(low) OVER {_frame(14)}, 0), 0)")},
     lambda: {"willr": win.willr(H(), L(), C(), W())},
 )
 _RANGES = (

@@ -208,7 +208,7 @@ def test_folds_against_loops(spark):
     h, l = [x + r.uniform(0, 1) for x in c], [x - r.uniform(0, 1) for x in c]
     df = spark.createDataFrame([("s", i, *x) for i, x in enumerate(zip(h, l, c))], "g string, i int, high double, low double, close double")
     out = recursive.series(df, ["g"], "i", "high", "low", "close")
-    out = recursive.steps(out, **{k: F.transform("bars", lambda b, n=n: b[n]) for k, n in (("h", "high"), ("l", "low"), ("c", "close"))})
+    out = recursive.steps(out, h=F.transform("bars", lambda b: b["high"]), l=F.transform("bars", lambda b: b["low"]), c=F.transform("bars", lambda b: b["close"]))
     of = F.col
     out = recursive.steps(
         out,
