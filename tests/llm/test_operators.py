@@ -63,6 +63,36 @@ def test_simhash(spark, docs, none):
     assert sorted(map(tuple, near_duplicate_classes(docs).collect()), key=str) == want
 
 
+def test_near_duplicates(spark, docs, none, monkeypatch):
+    """Pairs that share most of a text with all others, so that few of them are near to any band's first or last."""
+    from modelframe.llm import near_duplicates as nd
+
+    assert nd.one_of_each(none).count() == 0 and nd.one_of_each(docs).columns == docs.columns
+    monkeypatch.setattr(nd, "TILE", 5)
+    rng = np.random.default_rng(3)
+    common = [f"c{i}" for i in range(300)]
+    rows = []
+    for pair in range(30):
+        own = [f"p{pair}q{i}" for i in range(100)]
+        for k in range(2):
+            text = [*common, *own]
+            for at in rng.integers(0, len(text), 4):
+                text[at] = f"n{pair}m{k}x{at}"
+            rows.append((int(rng.integers(0, 1 << 40)), " ".join(text)))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    group = list(range(len(rows)))
+    for _ in range(6):
+        for i, a in enumerate(shingles):
+            group[i] = min(group[j] for j, b in enumerate(shingles) if near(a, b))
+    least = collections.defaultdict(lambda: math.inf)
+    for (i, _), g in zip(rows, group):
+        least[g] = min(least[g], i)
+    assert len(least) > 25
+    got = nd.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(least.values())
+
+
 def test_components(spark):
     from modelframe.llm.components import connected_components
 
