@@ -1,7 +1,8 @@
 """Indicators with unlimited memory: folds over each series' values in order, inside the JVM.
 
-A series is collected as an array of values (nulls aside) once; every recursion is one `aggregate` that carries its
-state and appends to its result, and results line up with the bars from the end. Seeds are simple means of the first n.
+A series is collected as an array of values (nulls aside) once; every recursion is a fold that carries its state and
+appends to its result, and results line up with the bars from the end. Seeds are simple means of the first n. Appending
+copies, so a fold goes through the values in runs of RUN and appends whole runs to a list of runs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EMPTY = "array<double>"
+#: Values that are folded before they are appended as a whole.
+RUN = 64
 
 
 def _slice(a: Column, first: int | Column, size: Column) -> Column:
@@ -22,14 +25,33 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _folded(inputs: Column, first: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """first, then step(last, value) for each of the inputs."""
+
+    def run(values: Column, last: Column) -> Column:
+        found = F.aggregate(values, F.array(last), lambda out, x: F.concat(out, F.array(step(F.element_at(out, -1), x))))
+        return F.slice(found, 2, RUN)
+
+    def runs(values: Column) -> Column:
+        count = F.greatest(F.ceil(F.size(values) / RUN), F.lit(1)).cast("int")
+        return F.aggregate(
+            F.sequence(F.lit(0), count - 1),
+            F.array(F.array(first.cast("double"))),
+            lambda out, i: F.concat(out, F.array(run(F.slice(values, i * RUN + 1, RUN), F.element_at(F.element_at(out, -1), -1)))),
+        )
+
+    return F.flatten(_let(inputs, runs))
+
+
 def smoothed(a: Column, n: int, step: Callable[[Column, Column], Column], seed: Column | None = None) -> Column:
     """The mean of the first n values, then step(last, value) for each further value; empty if there are fewer than n."""
     first = seed if seed is not None else _sum(_slice(a, 1, F.lit(n))) / n
-    folded = F.aggregate(
-        _slice(a, n + 1, F.size(a) - n),
-        F.array(first.cast("double")),
-        lambda out, x: F.concat(out, F.array(step(F.element_at(out, -1), x))),
-    )
+    folded = _folded(_slice(a, n + 1, F.size(a) - n), first, step)
     return F.when(F.size(a) >= n, folded).otherwise(F.array().cast(EMPTY))
 
 
@@ -77,21 +99,13 @@ def kama_of(a: Column, steps_: Column, n: int, fast: int = 2, slow: int = 30) ->
     """From values and their absolute differences; begins at the value before the first full window."""
     f, s = 2.0 / (fast + 1), 2.0 / (slow + 1)
     count = F.size(a) - n
-    ratios = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda i: F.when(
-            count > 0,
-            F.coalesce(
-                F.try_divide(F.abs(F.try_element_at(a, i + n) - F.try_element_at(a, i)), _sum(F.slice(steps_, i, n))), F.lit(1.0)
-            ),
-        ),
+    ratio = lambda d, i: F.coalesce(
+        F.try_divide(F.abs(F.try_element_at(a, i + n) - F.try_element_at(a, i)), _sum(F.slice(d, i, n))), F.lit(1.0)
     )
+    every = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
+    ratios = _let(steps_, lambda d: F.transform(every, lambda i: F.when(count > 0, ratio(d, i))))
     inputs = F.zip_with(ratios, _slice(a, n + 1, count), lambda r, x: F.struct(F.pow(r * (f - s) + s, F.lit(2.0)).alias("c"), x.alias("x")))
-    folded = F.aggregate(
-        inputs,
-        F.array(F.try_element_at(a, F.lit(n)).cast("double")),
-        lambda out, v: F.concat(out, F.array(F.element_at(out, -1) + v["c"] * (v["x"] - F.element_at(out, -1)))),
-    )
+    folded = _folded(inputs, F.try_element_at(a, F.lit(n)), lambda last, v: last + v["c"] * (v["x"] - last))
     return F.when(count > 0, _slice(folded, 2, count)).otherwise(F.array().cast(EMPTY))
 
 
