@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelframe.llm.common import Stored, ascii_words, portions
+from modelframe.llm.common import Stored, ascii_words, portions, trimmed
 from modelframe.llm.components import connected_components
 from modelframe.llm.simhash import fingerprint, links, shingle_hashes
 
@@ -128,6 +128,7 @@ def still_apart(met: DataFrame, roots: DataFrame, texts: DataFrame, best: bool,
         for batch in (p for b in batches for p in portions(b)):
             kept = [(minima(_shingles(t.as_py())) & np.uint64(0xFF)).astype(np.uint8).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(kept, pa.binary())], ["node", "sketch"])
+            _shingles.cache_clear()
 
     def near(tile: pa.Table) -> pa.Table:
         left = tile.column("left").to_numpy().astype(bool)
@@ -192,6 +193,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 keep.append(both >= similarity * (len(sa) + len(sb) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            _shingles.cache_clear()
+            trimmed()
 
     of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
