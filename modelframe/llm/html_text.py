@@ -4,8 +4,10 @@ Each page is parsed into elements; every element's subtree (tags and text) is ha
 on how many pages a subtree occurs; one that recurs on many of the host's pages (a share, and a number at least) is
 template and is deleted. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments also go by what their tag, role, class or id says, for hosts with too few pages to count. If a page has
-an article or main element, its text is the text there, and what recurs inside it (a passage that many pages share)
-stays unless its element is marked as one of these kinds; else all of the body that is left.
+an article or main element, its text is the text there; else all of the body that is left. Template is deleted inside
+an article too: boxes, lists, tables and paragraphs that recur. Parts of a passage (headings, list items, cells, words
+in a sentence) stay there unless the whole recurs. If that would take more than half of the articles' text, the page is
+a near copy of others of its host and its text stays whole.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones
 dropped, and joined in page order by one line feed.
@@ -71,6 +73,11 @@ _NAMED = re.compile(
 )
 
 
+#: Elements that hold a passage, and those that only go with the list, table or section they are part of.
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup li dt dd tr td th thead tbody tfoot caption figcaption legend option summary".split())
+_PASSAGES = _PARTS | {"p", "pre", "blockquote", "address"}
+
+
 class Node:
     __slots__ = ("dropped", "hash", "kids", "parent", "tag")
 
@@ -178,22 +185,24 @@ def parse(source: str) -> Node:
     return root
 
 
-def _elements(root: Node) -> Iterator[tuple[Node, bool]]:
-    """All elements, and whether each is inside an article or main element or holds one."""
+def _counted(root: Node) -> Iterator[Node]:
+    """The elements that may be template: none that is an article or main element or holds one, no part of a passage there."""
     holds: set[int] = set()
-    stack: list[tuple[Node, bool]] = [(root, False)]
+    stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
     found = []
     while stack:
-        node, inside = stack.pop()
-        found.append((node, inside))
+        node, inside, passage = stack.pop()
         if node.tag in ("article", "main"):
             inside, up = True, node
             while up is not None and id(up) not in holds:
                 holds.add(id(up))
                 up = up.parent
-        stack += [(k, inside) for k in node.kids if isinstance(k, Node)]
-    for node, inside in found:
-        yield node, inside or id(node) in holds
+        inline = node.tag not in _BLOCK
+        if node.tag and node.kids and not (inside and (node.tag in _PARTS or inline and passage)):
+            found.append(node)
+        passage = inline and passage or node.tag in _PASSAGES or any(isinstance(k, str) and k.strip() for k in node.kids)
+        stack += [(k, inside, passage) for k in node.kids if isinstance(k, Node)]
+    return (n for n in found if id(n) not in holds)
 
 
 def _signed(h: int) -> int:
@@ -204,24 +213,13 @@ def subtree_hashes(source: str | None) -> list[int]:
     """Distinct hashes of the subtrees that may be template."""
     if not source:
         return []
-    return list({_signed(n.hash) for n, kept in _elements(parse(source)) if not kept and n.tag and n.kids})
+    return list({_signed(n.hash) for n in _counted(parse(source))})
 
 
-def main_text(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    if not source:
-        return ""
-    root = parse(source)
-    kept = {id(n) for n, k in _elements(root) if k}
-    tops = []
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if node.tag in ("article", "main"):
-            tops.append(node)
-        else:
-            stack += [k for k in reversed(node.kids) if isinstance(k, Node) and not k.dropped]
+def _text(tops: list[Node], gone: set[int]) -> str:
+    """The text of the elements without what is dropped or gone."""
     blocks: list[list[str]] = [[]]
-    for top in tops or [root]:
+    for top in tops:
         blocks.append([])
         walk: list[Node | str | None] = [top]
         while walk:
@@ -230,7 +228,7 @@ def main_text(source: str | None, template: frozenset[int] | set[int] = frozense
                 blocks.append([])
             elif isinstance(item, str):
                 blocks[-1].append(item)
-            elif not (item.dropped or id(item) not in kept and _signed(item.hash) in template):
+            elif not (item.dropped or id(item) in gone):
                 if item.tag in _BLOCK:
                     blocks.append([])
                     walk.append(None)
@@ -242,6 +240,25 @@ def main_text(source: str | None, template: frozenset[int] | set[int] = frozense
     return "\n".join(line for line in lines if line)
 
 
+def main_text(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+    if not source:
+        return ""
+    root = parse(source)
+    tops = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main"):
+            tops.append(node)
+        else:
+            stack += [k for k in reversed(node.kids) if isinstance(k, Node) and not k.dropped]
+    gone = {id(n) for n in _counted(root) if _signed(n.hash) in template} if template else set()
+    text = _text(tops or [root], gone)
+    if tops and gone and 2 * len(text) < len(whole := _text(tops, set())):
+        return whole
+    return text
+
+
 def templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
     """Stored rows (host, template array<long>): at most 1/share times a page's mean number of subtrees for a host."""
 

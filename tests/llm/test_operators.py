@@ -189,6 +189,18 @@ def test_html(spark):
     assert main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_template_in_articles(spark):
+    """What recurs on a host goes inside articles too; parts of passages and near copies stay."""
+    from modelframe.llm.html_text import extracted
+
+    box = "<div><b>Read our letter</b></div><p>Five ways to save</p>"
+    rows = [(i, "http://a/x", f"<article><h2>Steps</h2><p>own {i} is <em>not</em> it</p>{box}<ul><li>Salt</li><li>spice {i}</li></ul></article>") for i in range(4)]
+    rows += [(i, "http://b/x", f"<article><p>{'the same long story ' * 9}</p><p>version {i}</p></article>") for i in range(4, 8)]
+    got = {r["page_id"]: r["text"] for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Steps\nown {i} is not it\nSalt\nspice {i}" for i in range(4))
+    assert all(got[i] == f"{('the same long story ' * 9).strip()}\nversion {i}" for i in range(4, 8))
+
+
 def test_language(spark, docs, none):
     from modelframe.llm.langid import identified
 
