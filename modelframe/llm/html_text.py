@@ -13,8 +13,9 @@ Text: character references are decoded, white space inside a block becomes one s
 dropped, and joined in page order by one line feed.
 
 Edge cases: a null or empty page gives an empty text; markup that never closes is closed at the end of the page, and a
-`<` that opens no tag is text; a null url is a host of its own; repeated pages count each; very long and very deep
-pages are parsed without recursion; an empty table gives no rows; extra columns are ignored.
+`<` that opens no tag is text; a null url is a host of its own; pages of one host with equal trees count once; html and
+body are never template, nor is all that a page has; very long and very deep pages are parsed without recursion; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -186,7 +187,7 @@ def parse(source: str) -> Node:
 
 
 def _counted(root: Node) -> Iterator[Node]:
-    """The elements that may be template: none that is an article or main element or holds one, no part of a passage there."""
+    """The elements that may be template: not html or body, none that is or holds an article or main, no part of a passage there."""
     holds: set[int] = set()
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
     found = []
@@ -198,7 +199,7 @@ def _counted(root: Node) -> Iterator[Node]:
                 holds.add(id(up))
                 up = up.parent
         inline = node.tag not in _BLOCK
-        if node.tag and node.kids and not (inside and (node.tag in _PARTS or inline and passage)):
+        if node.kids and node.tag not in ("", "html", "body") and not (inside and (node.tag in _PARTS or inline and passage)):
             found.append(node)
         passage = inline and passage or node.tag in _PASSAGES or any(isinstance(k, str) and k.strip() for k in node.kids)
         stack += [(k, inside, passage) for k in node.kids if isinstance(k, Node)]
@@ -209,11 +210,10 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def subtree_hashes(source: str | None) -> list[int]:
-    """Distinct hashes of the subtrees that may be template."""
-    if not source:
-        return []
-    return list({_signed(n.hash) for n in _counted(parse(source))})
+def subtree_hashes(source: str | None) -> tuple[int, list[int]]:
+    """The page's hash, and the distinct ones of its subtrees that may be template."""
+    root = parse(source or "")
+    return _signed(root.hash), list({_signed(n.hash) for n in _counted(root)})
 
 
 def _text(tops: list[Node], gone: set[int]) -> str:
@@ -254,8 +254,10 @@ def main_text(source: str | None, template: frozenset[int] | set[int] = frozense
             stack += [k for k in reversed(node.kids) if isinstance(k, Node) and not k.dropped]
     gone = {id(n) for n in _counted(root) if _signed(n.hash) in template} if template else set()
     text = _text(tops or [root], gone)
-    if tops and gone and 2 * len(text) < len(whole := _text(tops, set())):
-        return whole
+    if gone and (tops or not text):
+        whole = _text(tops or [root], set())
+        if 2 * len(text) < len(whole):
+            return whole
     return text
 
 
@@ -265,17 +267,22 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in portions(b, "html")):
             found = [subtree_hashes(h.as_py()) for h in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.int64()))], ["host", "found"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array([p for p, _ in found], pa.int64()), pa.array([f for _, f in found], pa.list_(pa.int64()))],
+                ["host", "page", "found"],
+            )
 
     counted = Stored(
         pages.select("host", "html")
-        .mapInArrow(run, "host string, found array<long>")
+        .mapInArrow(run, "host string, page long, found array<long>")
+        .groupBy("host", "page")
+        .agg(F.first("found").alias("found"))
         .select("host", F.explode(F.concat("found", F.array(F.lit(0).cast("long")))).alias("hash"))
         .groupBy("host", "hash")
         .agg(F.count("*").alias("n"))
         .where((F.col("n") >= least) | (F.col("hash") == 0))
     ).df
-    # hash 0 stands for the page itself
+    # hash 0 stands for a distinct page
     all_pages = counted.where("hash = 0").select("host", F.col("n").alias("pages"))
     return Stored(
         counted.where("hash != 0")

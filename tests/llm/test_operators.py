@@ -201,6 +201,18 @@ def test_html_template_in_articles(spark):
     assert all(got[i] == f"{('the same long story ' * 9).strip()}\nversion {i}" for i in range(4, 8))
 
 
+def test_html_copies(spark):
+    """Copies of a page without an article keep their text, whatever share of their host they are."""
+    from modelframe.llm.html_text import extracted
+
+    copy = "<html><body><div><p>One</p><p>text</p></div></body></html>"
+    own = [(i, "http://h/x", f"<html><body><div>menu</div><div>own {i}</div></body></html>") for i in range(4)]
+    rows = [(i, "http://h/x", copy) for i in range(10, 16)] + own
+    rows += [(i, None, f"<html><head><title>{i}</title></head><body><div>all of it</div></body></html>") for i in range(20, 24)]
+    got = {r["page_id"]: r["text"] for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "One\ntext" for i in range(10, 16)} | {i: f"own {i}" for i in range(4)} | {i: "all of it" for i in range(20, 24)}
+
+
 def test_language(spark, docs, none):
     from modelframe.llm.langid import identified
 
