@@ -4,7 +4,8 @@ Each page is parsed into elements; every element's subtree (tags and text) is ha
 on how many pages a subtree occurs; one that recurs on many of the host's pages (a share, and a number at least) is
 template and is deleted. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments also go by what their tag, role, class or id says, for hosts with too few pages to count. If a page has
-an article or main element, its text is the text there; else all of the body that is left. Template is deleted inside
+an article or main element, its text is the text there; else all of the body that is left. Elements around the main
+element aren't dropped by what they say, nor those around articles if no text of an article is elsewhere. Template is deleted inside
 an article too: boxes, lists, tables and paragraphs that recur. Parts of a passage (headings, list items, cells, words
 in a sentence) stay there unless the whole recurs. If that would take more than half of the articles' text, the page is
 a near copy of others of its host and its text stays whole.
@@ -64,14 +65,30 @@ _SAME = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of a class or id that name what isn't article text.
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice"
-    r"|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|widgets?|footer|header|masthead|comments?"
-    r"|comment-list|disqus|replies|respond|share|sharing|social|newsletter|subscribe|signup|related|recommended|pagination|pager"
-    r"|skip-link|toolbar|login|search)(?:$|[\s_-])",
-    re.I,
+#: Words of a class or id that name what isn't article text, and words beside them that only say place, form or number.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promos promotion promotions banner cookie cookies "
+    "consent gdpr notice popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer "
+    "header masthead comment comments disqus replies respond share sharing social newsletter subscribe signup related "
+    "recommended pagination pager toolbar login search".split()
 )
+_BESIDE = frozenset(
+    "a area bar bars block bottom box btn button buttons center col column container content desktop first form global group "
+    "icon icons inline inner item items js l last layer left link links list main major media message minor mobile outer "
+    "panel post posts primary right row secondary section site slot sticky sub text the thread top unit wrap wrapper".split()
+)
+#: Whole names that are no row of the words above.
+_WHOLE = frozenset("side-bar skip-link skip-links skip-to-content skip-nav".split())
+_PIECES = re.compile(r"[_-]+")
+
+
+def _names_other(value: str) -> bool:
+    """Whether a class or id has a token that names what isn't article text: as a whole, not by one of its parts."""
+    for token in value.lower().split():
+        parts = [p for p in _PIECES.split(token) if p and not p[0].isdigit()]
+        if token in _WHOLE or any(p in _NAMES for p in parts) and all(p in _NAMES or p in _BESIDE for p in parts):
+            return True
+    return False
 
 
 #: Elements that hold a passage, and those that only go with the list, table or section they are part of.
@@ -95,7 +112,7 @@ def _is_dropped(tag: str, attributes: str) -> bool:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and _NAMED.search(value) or name == "role" and value.lower() in _ROLES or name == "hidden":
+        if name in ("class", "id") and _names_other(value) or name == "role" and value.lower() in _ROLES or name == "hidden":
             return True
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -216,8 +233,8 @@ def subtree_hashes(source: str | None) -> tuple[int, list[int]]:
     return _signed(root.hash), list({_signed(n.hash) for n in _counted(root)})
 
 
-def _text(tops: list[Node], gone: set[int]) -> str:
-    """The text of the elements without what is dropped or gone."""
+def _text(tops: list[Node], gone: set[int], spared: set[int]) -> str:
+    """The text of the elements without what is dropped, unless it is spared, or gone."""
     blocks: list[list[str]] = [[]]
     for top in tops:
         blocks.append([])
@@ -228,7 +245,7 @@ def _text(tops: list[Node], gone: set[int]) -> str:
                 blocks.append([])
             elif isinstance(item, str):
                 blocks[-1].append(item)
-            elif not (item.dropped or id(item) in gone):
+            elif not (item.dropped and id(item) not in spared or id(item) in gone):
                 if item.tag in _BLOCK:
                     blocks.append([])
                     walk.append(None)
@@ -240,25 +257,56 @@ def _text(tops: list[Node], gone: set[int]) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def main_text(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    if not source:
-        return ""
-    root = parse(source)
-    tops = []
-    stack = [root]
+def _holders(root: Node, tags: tuple[str, ...]) -> set[int]:
+    """The dropped elements that hold one of these."""
+    found, stack = set(), [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in tags:
+            up = node.parent
+            while up is not None:
+                if up.dropped:
+                    found.add(id(up))
+                up = up.parent
+        stack += [k for k in node.kids if isinstance(k, Node)]
+    return found
+
+
+def _articles(root: Node, spared: set[int]) -> list[Node]:
+    """The outermost article and main elements in page order, without those in what is dropped and not spared."""
+    tops, stack = [], [root]
     while stack:
         node = stack.pop()
         if node.tag in ("article", "main"):
             tops.append(node)
         else:
-            stack += [k for k in reversed(node.kids) if isinstance(k, Node) and not k.dropped]
+            stack += [k for k in reversed(node.kids) if isinstance(k, Node) and not (k.dropped and id(k) not in spared)]
+    return tops
+
+
+def main_text(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+    if not source:
+        return ""
+    root = parse(source)
     gone = {id(n) for n in _counted(root) if _signed(n.hash) in template} if template else set()
-    text = _text(tops or [root], gone)
-    if gone and (tops or not text):
-        whole = _text(tops or [root], set())
-        if 2 * len(text) < len(whole):
-            return whole
-    return text
+
+    def text(tops: list[Node], spared: set[int]) -> str:
+        found = _text(tops or [root], gone, spared)
+        if gone and (tops or not found):
+            whole = _text(tops or [root], set(), spared)
+            if 2 * len(found) < len(whole):
+                return whole
+        return found
+
+    # what holds the main element isn't dropped, nor what holds the article if there is no text of one elsewhere
+    spared = _holders(root, ("main",))
+    tops = _articles(root, spared)
+    if tops and (found := text(tops, spared)):
+        return found
+    every = _holders(root, ("main", "article"))
+    if every != spared and (found := text(_articles(root, every), every)):
+        return found
+    return text(tops, spared)
 
 
 def templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:

@@ -213,6 +213,24 @@ def test_html_copies(spark):
     assert got == {i: "One\ntext" for i in range(10, 16)} | {i: f"own {i}" for i in range(4)} | {i: "all of it" for i in range(20, 24)}
 
 
+def test_html_wrappers():
+    """What is around the article isn't dropped; a class names a kind as a whole token only."""
+    from modelframe.llm.html_text import main_text
+
+    for kind in ("site has-sidebar", "no-sidebar", "search-page", "with-comments", "sidebar", "page-with-nav"):
+        for tag in ("article", "main"):
+            assert main_text(f"<body><div class='{kind}'><nav>n</nav><{tag}><p>text</p></{tag}></div></body>") == "text"
+            assert main_text(f"<body><{tag}><div class='{kind}'><article><p>text</p></article></div></{tag}></body>") == "text"
+        assert main_text(f"<body><form><article><p>text</p></article></form><p>beside</p><div class='{kind}'></div></body>") == "text"
+    for kind in ("no-sidebar", "search-page", "with-comments"):
+        assert main_text(f"<body><div class='{kind}'>text</div></body>") == "text"
+    for kind in ("cookie-notice", "site-footer", "x sidebar", "ad_slot_2", "comments-area", "skip-link"):
+        assert main_text(f"<body><p>text</p><div class='{kind}'>no</div></body>") == "text"
+    # articles in what is dropped stay out beside a main text
+    assert main_text("<article>text</article><section id=comments><article>no</article></section>") == "text"
+    assert main_text("<main><p>text</p><aside><article>no</article></aside></main>") == "text"
+
+
 def test_language(spark, docs, none):
     from modelframe.llm.langid import identified
 
