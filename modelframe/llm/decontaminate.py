@@ -6,6 +6,11 @@ sequences are compared along the hit's diagonal: the best segment, one up for an
 substituted one, has to hold enough equal tokens. Training windows first pass a bitmap of the test hashes (fixed
 size, no false negatives), which keeps the join's input near the size of its result; a saturated bitmap costs time only.
 
+The masks leave no overlap out that the comparison accepts. Such a segment has at least MATCHED equal tokens, or SHARE
+of a shorter item, and its sum is 2 or more (a sum of 1 is reached at its first token); a pattern that no mask hits has
+less, whatever its length (the test counts the most for each length). What is compared are the tokens up to BESIDE
+beside a hit, so this holds without restriction for items of up to BESIDE + 1 tokens.
+
 Tokens are runs of word characters, lower-cased, so marks and white space don't matter.
 
 Edge cases: null and empty texts have no tokens and stay clean; test items with fewer than 4 tokens are too short
@@ -29,10 +34,14 @@ from pyspark.sql import functions as F
 
 from modelframe.llm.common import Stored, distinct_chunks, portions, spread
 
-#: 1: the token counts. Runs, and windows that ignore every fifth, fourth or third token.
-MASKS = ("11111111", "11110111101", "111011101110", "110110110110")
-#: For items shorter than the longest mask.
-SHORT = "1111"
+#: 1: the token counts. Found by greedy search over all patterns of 5 to 24 tokens that have to be hit.
+MASKS = (
+    "1111", "11101", "11011", "10111", "1010011", "1100011", "100001011", "100100101", "1001000101", "1100010001", "101000000011", "110000010001",
+)
+#: For items of 4 tokens, where 3 equal ones do.
+SHORT = ("111", "1011")
+#: Items of fewer tokens are no evidence.
+FEWEST = 4
 #: Equal tokens a match needs: so many, or this share of a shorter item.
 MATCHED, SHARE = 13, 0.75
 #: Tokens kept beside a hit, and bits of the bitmap (a power of 2).
@@ -53,31 +62,38 @@ def tokens(texts: pa.Array) -> list[np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def _factors() -> np.ndarray:
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    """A factor for each place among the tokens that count, and a summand for each mask."""
     rng = np.random.Generator(np.random.PCG64(2026))
-    return rng.integers(1, 2**63, size=(len(MASKS) + 1, _LONGEST), dtype=np.uint64) | np.uint64(1)
-
-
-def seeds(t: np.ndarray, mask_no: int) -> np.ndarray:
-    """The hash at each window of one mask; the last number is the short one's."""
-    mask = (*MASKS, SHORT)[mask_no]
-    size = len(t) - len(mask) + 1
-    if size <= 0:
-        return np.empty(0, np.uint64)
-    h = np.full(size, mask_no + 1, np.uint64)
-    for k, c in enumerate(mask):
-        if c == "1":
-            h += t[k : k + size] * _factors()[mask_no, k]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    some = rng.integers(1, 2**63, size=max(map(len, MASKS)) + len(MASKS) + len(SHORT), dtype=np.uint64) | np.uint64(1)
+    return some[: max(map(len, MASKS))], some[max(map(len, MASKS)) :]
+
+
+def seeds(t: np.ndarray, masks: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """The hashes at each window of these masks, by mask; the last numbers are the short ones'."""
+    factors, summands = _factors()
+    products: list[np.ndarray] = []
+    for mask_no in masks:
+        mask = (*MASKS, *SHORT)[mask_no]
+        size = len(t) - len(mask) + 1
+        if size <= 0:
+            continue
+        h = np.full(size, summands[mask_no], np.uint64)
+        for k, place in enumerate(i for i, c in enumerate(mask) if c == "1"):
+            if k == len(products):
+                products.append(t * factors[k])
+            h += products[k][place : place + size]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        yield mask_no, h
 
 
 def _of_item(n: int) -> list[int]:
     """The masks an item of n tokens is hashed by."""
-    if n >= _LONGEST:
+    if n > FEWEST:
         return list(range(len(MASKS)))
-    return [len(MASKS)] if n >= len(SHORT) else []
+    return list(range(len(MASKS), len(MASKS) + len(SHORT))) if n == FEWEST else []
 
 
 def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +116,7 @@ def test_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
             hs, ids, at = [np.empty(0, np.uint64)], [], [np.empty(0, np.int32)]
             for i, t in zip(batch.column("item_id").to_pylist(), batch.column("tokens").to_pylist()):
                 t = np.array(t, np.int64).view(np.uint64)
-                for m in _of_item(len(t)):
-                    h = seeds(t, m)
+                for _, h in seeds(t, _of_item(len(t))):
                     hs.append(h)
                     ids += [i] * len(h)
                     at.append(np.arange(len(h), dtype=np.int32))
@@ -113,7 +128,7 @@ def test_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = Stored(
         benchmark.select(F.col("item_id").cast("long"), "text")
         .mapInArrow(cut, "item_id long, tokens array<long>")
-        .where(F.size("tokens") >= len(SHORT))
+        .where(F.size("tokens") >= FEWEST)
         .groupBy("tokens")
         .agg(F.min("item_id").alias("item_id"))
         .where(F.col("item_id").isNotNull())
@@ -155,7 +170,7 @@ def _row_key(doc_id: Column, text: Column) -> list[Column]:
 def regions(docs: DataFrame, of_tests: bytes, short_items: bool, bits: int = BITS, beside: int = BESIDE) -> DataFrame:
     """Rows (key_id, key_text, first, tokens, hashes, places) of the stretches of texts with hits in the bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(of_tests)
-    used = list(range(len(MASKS))) + [len(MASKS)] * short_items
+    used = _of_item(FEWEST + 1) + _of_item(FEWEST) * short_items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.frombuffer(shared.value, np.uint8)
@@ -168,21 +183,23 @@ def regions(docs: DataFrame, of_tests: bytes, short_items: bool, bits: int = BIT
 
         for batch in (p for b in batches for p in portions(b)):
             rows = []
-            for key_id, key_text, t in zip(
-                batch.column("key_id").to_pylist(), batch.column("key_text").to_pylist(), tokens(batch.column("text"))
-            ):
-                places, hashes = [], []
-                for m in used:
-                    h = seeds(t, m)
-                    if len(h):
-                        hit = marked(h)
-                        places.append(hit)
-                        hashes.append(h[hit])
-                if not places or not sum(map(len, places)):
-                    continue
-                at, h = np.concatenate(places), np.concatenate(hashes)
-                order = np.argsort(at, kind="stable")
-                at, h = at[order], h[order]
+            texts = tokens(batch.column("text"))
+            begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            # all texts at once; windows that reach into the next one don't count
+            places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for m, h in seeds(np.concatenate(texts) if texts else np.empty(0, np.uint64), used):
+                hit = marked(h)
+                hit = hit[hit + len((*MASKS, *SHORT)[m]) <= begins[np.searchsorted(begins, hit, "right")]]
+                places.append(hit)
+                hashes.append(h[hit])
+            all_at, all_h = np.concatenate(places), np.concatenate(hashes)
+            order = np.argsort(all_at, kind="stable")
+            all_at, all_h = all_at[order], all_h[order]
+            bounds = np.searchsorted(all_at, begins)
+            keys_id, keys_text = batch.column("key_id"), batch.column("key_text")
+            for i in np.flatnonzero(np.diff(bounds)):
+                key_id, key_text, t = keys_id[i].as_py(), keys_text[i].as_py(), texts[i]
+                at, h = all_at[bounds[i] : bounds[i + 1]] - begins[i], all_h[bounds[i] : bounds[i + 1]]
                 for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * beside) + 1):
                     first = max(0, int(at[part[0]]) - beside)
                     last = int(at[part[-1]]) + _LONGEST + beside
@@ -211,7 +228,7 @@ def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
 def overlaps(docs: DataFrame, benchmark: DataFrame, matched: int = MATCHED, share: float = SHARE) -> DataFrame:
     """Stored rows (key_id, key_text, item_id, matched, begin, end): verified overlaps, in tokens of the text."""
     items, windows = test_items(benchmark)
-    short_items = bool(items.where(F.size("tokens") < _LONGEST).limit(1).count())
+    short_items = bool(items.where(F.size("tokens") == FEWEST).limit(1).count())
     held = Stored(
         regions(docs, bitmap(windows.select("hash")), short_items).withColumn("region", F.monotonically_increasing_id())
     ).df

@@ -349,6 +349,64 @@ def test_decontamination(spark, docs, none):
     assert contamination(docs, bench.where("item_id = 99")).where("contaminated").count() == 0
 
 
+def test_masks_hit_all_overlaps():
+    """Every pattern of equal tokens that the verification accepts has a hit: each one of 4 to 20 tokens, the fewest beyond."""
+    from modelframe.llm import decontaminate as dc
+
+    def bits(mask):
+        return [i for i, c in enumerate(mask) if c == "1"]
+
+    for n in range(4, 21):
+        p = np.arange(1 << n, dtype=np.int32)
+        missed = np.ones(len(p), bool)
+        for m in dc._of_item(n):
+            both = np.full(len(p), -1, np.int32)
+            for k in bits((*dc.MASKS, *dc.SHORT)[m]):
+                both &= p >> k
+            missed &= both == 0
+        need = min(dc.MATCHED, math.ceil(dc.SHARE * n))
+        for x in p[missed]:
+            if int(x).bit_count() >= need:
+                assert dc.best_segment(np.array([int(x) >> k & 1 for k in range(n)], bool))[0] < need, (n, bin(x))
+    # beyond: the most equal tokens that no mask hits, by the last tokens
+    size = max(map(len, dc.MASKS)) - 1
+    every = np.arange(1 << size)
+    free = np.ones(1 << size, bool)
+    for m in map(bits, dc.MASKS):
+        need = sum(1 << (m[-1] - k - 1) for k in m[:-1])
+        free &= every & need != need
+    most = np.where(every == 0, 0, -(10**6))
+    for n in range(1, 100):
+        after = np.full(1 << size, -(10**6))
+        np.maximum.at(after, every << 1 & (1 << size) - 1, most)
+        np.maximum.at(after, (every[free] << 1 | 1) & (1 << size) - 1, most[free] + 1)
+        most = after
+        assert n < dc.MATCHED or most.max() < max(dc.MATCHED, (n + 3) // 2)
+        if n == 24:
+            assert most.max() <= 12  # so 24 tokens more bring 12 at most, and all lengths follow
+
+
+def test_decontamination_substitutions(spark):
+    """Items whose tokens are substituted here and there, as many as the verification accepts, beside lone texts."""
+    from modelframe.llm.decontaminate import best_segment, contamination
+
+    rng = np.random.default_rng(9)
+    sizes = [4, 5, 8, 11, 12, 15, 18, 24, 30]
+    bench = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in sizes]
+    rows, want = [], {}
+    for n in sizes:
+        for _ in range(60):
+            equal = np.ones(n, bool)
+            equal[rng.choice(n, rng.integers(1, max(2, n // 2)), replace=False)] = False
+            i = len(rows)
+            own = [f"i{n}x{k}" if e else f"o{i}x{k}" for k, e in enumerate(equal)]
+            rows.append((i, " ".join([f"b{i}", *own, f"e{i}"])))
+            want[i] = best_segment(equal)[0] >= min(13, math.ceil(0.75 * n))
+    df, items = spark.createDataFrame(rows, "doc_id long, text string").repartition(2), spark.createDataFrame(bench, "item_id long, text string")
+    got = {r["doc_id"]: r["contaminated"] for r in contamination(df, items).collect()}
+    assert 100 < sum(want.values()) < len(want) and got == want
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
