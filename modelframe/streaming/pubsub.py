@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -39,8 +40,16 @@ class Publisher:
             F.lit(self.channel).alias("channel"), when.cast("timestamp").alias("ts"), F.to_json(F.struct(*cols)).alias("payload")
         )
 
-    def publish(self, df: DataFrame, ts: str | Column | None = None) -> None:
-        self.messages(df, ts).write.mode("append").parquet(self.path)
+    def publish(self, df: DataFrame, ts: str | Column | None = None) -> int:
+        """Writes the rows' messages; how many, counted as they are written."""
+        seen = Observation()
+        self.messages(df, ts).observe(seen, F.count("*").alias("n")).write.mode("append").parquet(self.path)
+        return seen.get["n"]
+
+    def heartbeat(self, spark: SparkSession, ts: dt.datetime) -> None:
+        """A message without values: nothing to handle, but the watermark follows it, so what waited for its time comes out."""
+        row = spark.createDataFrame([(self.channel, ts, "{}")], MESSAGE)
+        row.write.mode("append").parquet(self.path)
 
 
 class Subscriber:
@@ -52,8 +61,12 @@ class Subscriber:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def stream(self) -> DataFrame:
-        return self.spark.readStream.schema(MESSAGE).parquet(self.path).where(F.col("channel").isin(list(self.channels)))
+    def stream(self, files_at_once: int | None = None) -> DataFrame:
+        """The channels' messages; so many files at most in a micro-batch."""
+        reader = self.spark.readStream.schema(MESSAGE)
+        if files_at_once:
+            reader = reader.option("maxFilesPerTrigger", files_at_once)
+        return reader.parquet(self.path).where(F.col("channel").isin(list(self.channels)))
 
     def parsed(self, messages: DataFrame) -> DataFrame:
         """Payloads by the schema; messages that don't parse are dropped."""
@@ -106,31 +119,61 @@ def resampled(df: DataFrame, keys: list[str], ts: str, value: str, every: str =
     )
 
 
-def running_mean(df: DataFrame, key: str, ts: str, value: str, n: int) -> DataFrame:
-    """Rows (key, ts, value, sma) in the order of ts within each micro-batch; the last n - 1 values are the state."""
-    schema = f"{key} string, {ts} timestamp, {value} double, sma double"
-
-    def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values([ts, value])
-        means: list[Any] = []
-        for x in rows[value]:
-            last = [*last, float(x)][-n:]
-            means.append(sum(last) / n if len(last) == n else None)
-        state.update((last[-(n - 1) :] if n > 1 else [],))
-        yield pd.DataFrame({key: own[0], ts: rows[ts], value: rows[value], "sma": pd.Series(means, index=rows.index, dtype="float64")})
-
-    return df.groupBy(key).applyInPandasWithState(step, schema, "last array<double>", "append", GroupStateTimeout.NoTimeout)
+def running(df: DataFrame, key: str, ts: str, value: str, most: int, compute: Callable[[list[float]], dict[str, float | None]], names: tuple[str, ...], late: str = "1 day") -> DataFrame:
+    """Rows (key, ts, value, *names) in the order of ts, whatever micro-batches they came in.
 
+    Rows wait in the state until the watermark passes them and are then taken in order; the last `most - 1` values stay as
+    state. compute gets the last values up to `most` and gives the results by name. Rows without a value are passed over.
+    """
+    schema = f"{key} string, {ts} timestamp, {value} double, {', '.join(f'{n} double' for n in names)}"
 
-def drained(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a streaming frame over all that is there now and returns the result as a batch frame."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
-
-
-Handler = Callable[[DataFrame, int], None]
+    def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting_ts, waiting = [list(x) for x in state.get] if state.exists else ([], [], [])
+        for rows in [] if state.hasTimedOut else batches:
+            rows = rows[rows[value].notna()]
+            waiting_ts += (rows[ts].astype("datetime64[us]").astype("int64")).tolist()
+            waiting += rows[value].astype(float).tolist()
+        passed = state.getCurrentWatermarkMs() * 1000
+        order = sorted(zip(waiting_ts, waiting))
+        due = [x for x in order if x[0] <= passed]
+        later = order[len(due) :]
+        found: dict[str, list] = {n: [] for n in names}
+        for _, x in due:
+            last = [*last, x][-most:]
+            for n, y in compute(last).items():
+                found[n].append(y)
+        state.update((last[-(most - 1) :] if most > 1 else [], [t for t, _ in later], [x for _, x in later]))
+        if later:
+            state.setTimeoutTimestamp(max(later[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if due:
+            out = {key: own[0], ts: pd.to_datetime([t for t, _ in due], unit="us"), value: [x for _, x in due]}
+            yield pd.DataFrame(out | {n: pd.Series(found[n], dtype="float64") for n in names})
+
+    rows = df.select(F.col(key).cast("string").alias(key), ts, F.col(value).cast("double").alias(value)).withWatermark(ts, late)
+    state_schema = "last array<double>, waiting_ts array<long>, waiting array<double>"
+    return rows.groupBy(key).applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def running_means(df: DataFrame, key: str, ts: str, value: str, periods: tuple[int, ...], late: str = "1 day") -> DataFrame:
+    """Simple moving averages of all periods, one column sma_n each, null until n values are there."""
+    means = lambda last: {f"sma_{n}": sum(last[-n:]) / n if len(last) >= n else None for n in periods}
+    return running(df, key, ts, value, max(periods), means, tuple(f"sma_{n}" for n in periods), late)
+
+
+def throttled(df: DataFrame, keys: list[str], ts: str, every: str = "20 seconds") -> DataFrame:
+    """The first message of each key, and no other until its time is up."""
+    return df.withWatermark(ts, every).dropDuplicatesWithinWatermark(keys)
+
+
+def signals(df: DataFrame, trend: Column, strength: Column | None = None, **values: Column) -> DataFrame:
+    """Rows of df with a trend, as signals: their columns, trend, strength (1 unless given) and further values."""
+    named = {"trend": trend, "strength": F.lit(1) if strength is None else strength} | values
+    return df.withColumns(named).where(F.col("trend").isNotNull())
+
+
+def drained(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a streaming frame over all that is there now, into Parquet files in a shared folder; the result as a batch frame."""
+    out = f"{folder}/out"
+    writer = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
