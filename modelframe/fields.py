@@ -188,9 +188,19 @@ class DatetimeField(Field):
 
 @dataclass(frozen=True)
 class FrameField(Field):
-    """A small table in one cell: array<struct>."""
+    """A small table in one cell: array<struct> of the columns named as in SQL, `Brand string, Price long`."""
 
     type: Any = list
+    columns: str = ""
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        if not self.columns:
+            raise ModelError("a frame needs its columns")
+
+    @property
+    def data_type(self) -> T.DataType:
+        return T.ArrayType(T._parse_datatype_string(self.columns))
 
 
 def _of(kind: Any):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,17 @@ def composite_key(model: str, *parts: Column) -> Column:
     return F.concat_ws(":", F.lit(model), *(F.coalesce(escape_key(p), F.lit("None")) for p in parts))
 
 
+def key_parts(column: Column) -> Column:
+    """The parts of composite key texts, unescaped, the model's name first; None reads as null."""
+    return F.transform(F.split(column, ":"), lambda p: F.when(p != "None", unescape_key(p)))
+
+
+def key_text_parts(text: str) -> list[str | None]:
+    """As `key_parts`, of one text."""
+    plain = lambda p: re.sub(r"/(['?*^\[\]/-])", r"\1", p.replace("{&#58;}", ":"))
+    return [None if p == "None" else plain(p) for p in text.split(":")]
+
+
 def numeric_score(column: Column, kind: T.DataType) -> Column:
     """The number that orders a sorted column's values."""
     if isinstance(kind, T.DateType):
@@ -77,6 +90,11 @@ def is_near_5min(t: Column) -> Column:
     return F.pmod(t + 45, F.lit(300)) < 90
 
 
+def is_near_5min_score(s: Column) -> Column:
+    """Less than 45 seconds from a whole period."""
+    return F.abs(s - F.rint(s)) < 45 / PERIOD
+
+
 def nearest_5min(t: Column) -> Column:
     return _floored(t + 45, 300)
 
@@ -102,3 +120,20 @@ def asset_class(symbol: Column, classes: dict[str, list[str]], default: str = "o
         hit = symbol.isin(symbols)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.lit(default) if out is None else out.otherwise(default)
+
+
+#: Functions for SQL text: bodies are SQL, so that they stay in the optimizer's sight.
+SQL_FUNCTIONS = {
+    "nearest_5min(t BIGINT)": "BIGINT RETURN floor((t + 45) / 300) * 300",
+    "nearest_1hr(t BIGINT)": "BIGINT RETURN floor((t + 150) / 3600) * 3600",
+    "nearest_1day(t BIGINT)": "BIGINT RETURN floor((t + 21600) / 86400) * 86400",
+    "is_near_5min(t BIGINT)": "BOOLEAN RETURN pmod(t + 45, 300) < 90",
+    "score_of(t BIGINT)": f"DOUBLE RETURN (t - {SCORE_EPOCH}) / CAST({PERIOD} AS DOUBLE)",
+}
+
+
+def register_functions(spark: SparkSession) -> list[str]:
+    """Makes the time functions callable from SQL text of this session; their names."""
+    for head, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {body}")
+    return [head.partition("(")[0] for head in SQL_FUNCTIONS]

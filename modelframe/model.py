@@ -108,3 +108,26 @@ class Model:
         """Keys that more than one row has, with the number of rows."""
         keys = cls.key_names()
         return df.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")
+
+    @classmethod
+    def save(cls, table: Any, df: DataFrame, *version: Column, publisher: Any = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """Saves rows into a `Snapshots` table: derived, checked, formatted, upserted by key, published. Returns rejected rows.
+
+        Of several incoming rows of a key the one of the greatest version stays. The publisher gets the keys that changed,
+        with the new values and what happened to them.
+        """
+        from modelframe.operators import mutate
+
+        good, rejected = cls.split_valid(df)
+        keys, before = cls.key_names(), table.read() if table else good.where("false")
+        number = table.write(mutate.upsert(before, good, keys, *version), partition_by)
+        if publisher is not None:
+            publisher.publish(mutate.change_feed(before, table.read(number), keys))
+        return rejected
+
+    @classmethod
+    def create(cls, table: Any, spark: SparkSession, *rows: dict[str, Any], publisher: Any = None) -> DataFrame:
+        """Constructs rows from dicts of field values and saves them; returns rejected rows."""
+        given = [{n: r.get(n, f.default) for n, f in cls.fields.items()} for r in rows]
+        schema = T.StructType([T.StructField(n, f.data_type) for n, f in cls.fields.items()])
+        return cls.save(table, spark.createDataFrame([tuple(r.values()) for r in given], schema), publisher=publisher)

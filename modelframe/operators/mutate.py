@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,7 +37,25 @@ def delete(df: DataFrame, matching: Column) -> DataFrame:
 
 
 def delete_keys(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    return df.join(keys, names, "left_anti")
+    """The table without the rows whose key is among keys; null keys match null keys."""
+    gone = keys.select(*names).distinct()
+    return df.join(gone, [df[k].eqNullSafe(gone[k]) for k in names], "left_anti")
+
+
+def compacted(df: DataFrame, keys: list[str], bucket: Column, before: Column, *order: Column) -> DataFrame:
+    """History after resampling: of rows that `before` holds for, the last one of each key and bucket stays."""
+    old = df.where(before).withColumn("_bucket", bucket)
+    return df.where(~F.coalesce(before, F.lit(False))).unionByName(latest(old, [*keys, "_bucket"], *order).drop("_bucket"))
+
+
+def alive(df: DataFrame, expires: str, now: Column | None = None) -> DataFrame:
+    """Rows that haven't expired; null never does."""
+    return df.where(F.col(expires).isNull() | (F.col(expires) > (F.localtimestamp() if now is None else now)))
+
+
+def migrated(df: DataFrame, renamed: dict[str, str] | None = None, added: dict[str, Column] | None = None, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """A table as a changed model has it: columns renamed, dropped and added, all rows kept."""
+    return df.withColumnsRenamed(renamed or {}).drop(*dropped).withColumns(added or {})
 
 
 def change_feed(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,9 +67,3 @@ def change_feed(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
     change = F.when(F.col("_was").isNull(), "insert").when(F.col("_is").isNull(), "delete").when(~F.col("_old").eqNullSafe(F.col("_new")), "update")
     now = F.coalesce("_new", "_old")
     return both.withColumn("change", change).where("change IS NOT NULL").select(*keys, *(now[c].alias(c) for c in rest), "change")
-
-
-def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in an order that a struct's maximum can't express (descending strings, say)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
 
@@ -10,16 +12,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelframe.errors import QueryError
-from modelframe.fields import Field, GeoField, Relationship, SortedField
-from modelframe.functions import geo
+from modelframe.fields import KEY_TYPES, Field, GeoField, Relationship, SortedField
+from modelframe.functions import geo, scalar
 
 _GEO_PARTS = ("latitude", "longitude", "radius", "radius_unit", "member")
 
 
+def plain(field: Field, value: Any) -> Any:
+    """The value as the column holds it, or QueryError: times are microseconds of the day, text reads as the column's type."""
+    kind = field.data_type
+    if value is None:
+        return None
+    try:
+        if isinstance(kind, T.StringType):
+            return value if isinstance(value, str) else str(value)
+        if field.type is dt.time and not isinstance(value, int):
+            t = dt.time.fromisoformat(value) if isinstance(value, str) else value
+            return ((t.hour * 60 + t.minute) * 60 + t.second) * 1_000_000 + t.microsecond
+        if isinstance(kind, T.NumericType):
+            return Decimal(value) if isinstance(value, str) else value + 0
+        if isinstance(kind, T.DateType):
+            return dt.date.fromisoformat(value) if isinstance(value, str) else dt.date(value.year, value.month, value.day)
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            when = dt.datetime.fromisoformat(value) if isinstance(value, str) else value
+            return when if isinstance(when, dt.datetime) else dt.datetime(when.year, when.month, when.day)
+    except (TypeError, ValueError, AttributeError, InvalidOperation) as e:
+        raise QueryError(f"{field.name} can't be compared with {value!r}") from e
+    return value
+
+
 def literal(field: Field, value: Any) -> Column:
     """The value in the column's type; a string column compares with the value's text, never as a number."""
-    kind = field.data_type
-    return F.lit(str(value) if isinstance(kind, T.StringType) and not isinstance(value, str) else value).cast(kind)
+    return F.lit(plain(field, value)).cast(field.data_type)
 
 
 def compare(field: Field, column: Column, op: str, value: Any) -> Column:
@@ -128,9 +152,10 @@ class Query:
                     continue
                 if isinstance(value, Row):
                     value = value[key]
-                elif isinstance(value, (int, str)) is False and value is not None:
+                elif value is not None and not isinstance(value, KEY_TYPES):
                     raise QueryError(f"{name} takes a row of {field.model.__name__} or its key")
-                df = df.where(F.col(name).eqNullSafe(F.lit(value)))
+                there = F.lit(None) if value is None else literal(field.model.fields[key], value)
+                df = df.where(F.col(name).eqNullSafe(there))
             if through:
                 if field.model not in self.related:
                     raise QueryError(f"no table of {field.model.__name__} is bound")
@@ -158,9 +183,9 @@ class Query:
             if unknown := [v for v in values if v not in self.model.fields]:
                 raise QueryError(f"no fields {', '.join(unknown)}")
         if order_by is not None:
-            if not isinstance(order_by, str) or order_by.lstrip("-") not in self.model.fields:
+            name = order_by.removeprefix("-") if isinstance(order_by, str) else None
+            if name not in self.model.fields:
                 raise QueryError(f"can't order by {order_by!r}")
-            name = order_by.removeprefix("-")
             if values is not None and name not in values:
                 raise QueryError("the column to order by must be among values")
             key = zero_first(self.model.fields[name], F.col(name))
@@ -177,6 +202,17 @@ class Query:
             raise QueryError("more than one row matches")
         return rows[0] if rows else None
 
+    def by_key_text(self, *texts: str) -> DataFrame:
+        """The rows whose composite keys read so, one filter on the key columns."""
+        names, rows = self.model.key_names(), []
+        for text in texts:
+            model, *parts = scalar.key_text_parts(text)
+            if model != self.model.__name__ or len(parts) != len(names):
+                raise QueryError(f"{text!r} is no key of {self.model.__name__}")
+            same = [F.col(n).isNull() if p is None else F.col(n) == literal(self.model.fields[n], p) for n, p in zip(names, parts)]
+            rows.append(reduce(lambda a, b: a & b, same))
+        return self.df.where(reduce(lambda a, b: a | b, rows, F.lit(False)))
+
     def count_frame(self, **lookups: Any) -> DataFrame:
         limit = lookups.pop("limit", None)
         return self.filter(limit=limit, **lookups).agg(F.count("*").alias("n"))

@@ -21,7 +21,10 @@ def expanded(model: type, df: DataFrame, related: dict[type, DataFrame], _seen:
         if field.model not in related:
             raise QueryError(f"no table of {field.model.__name__} is bound")
         key = field.key_name
-        there = expanded(field.model, related[field.model], related, _seen | {(model, name)})
+        there = related[field.model]
+        if field.model.key_names() != [key]:  # a part of a key may repeat; a row has one related row
+            there = there.dropDuplicates([key])
+        there = expanded(field.model, there, related, _seen | {(model, name)})
         side = there.select(F.col(key).alias("__key"), F.struct(*there.columns).alias("__row"))
         order = df.columns
         df = df.join(side, F.col(name) == F.col("__key"), "left").drop(name, "__key").withColumnRenamed("__row", name).select(*order)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from modelframe.fields import (
     AutoKeyField,
     FloatField,
+    FrameField,
     GeoField,
     KeyField,
     Relationship,
@@ -24,7 +26,7 @@ from modelframe.functions import scalar
 from modelframe.functions.geo import haversine
 from modelframe.model import Model
 from modelframe.operators import mutate, related
-from modelframe.sources.tables import decoded, encoded, read
+from modelframe.sources.tables import Snapshots, decoded, encoded, read, shared_folder, write_sorted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -301,9 +303,9 @@ def sortedkey_in(spark, d):
 _SUPPLIER = ["s_suppkey", "s_name"]
 
 
-@query(f"SELECT s_suppkey, s_name FROM {_PLACES} WHERE {_distance('-10.0', '30.0')} <= 6000000")
+@query(f"SELECT s_suppkey, s_name FROM {_PLACES} WHERE {_distance('-75.0', '-150.0')} <= 6000000")
 def geo_radius(spark, d):
-    return suppliers(spark, d).filter(place=(-10.0, 30.0), place_radius=6000, place_radius_unit="km").select(*_SUPPLIER)
+    return suppliers(spark, d).filter(place=(-75.0, -150.0), place_radius=6000, place_radius_unit="km").select(*_SUPPLIER)
 
 
 @query(f"SELECT s_suppkey, s_name FROM {_PLACES} WHERE {_distance('-80.0', '170.0')} <= 2500000")
@@ -354,9 +356,9 @@ def rel_exact(spark, d):
     return orders(spark, d).filter(o_custkey=10)
 
 
-@query("SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE starts_with(n_name, 'N') OR n_name IS NULL)")
+@query("SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE ends_with(n_name, '1'))")
 def rel_related_lookup(spark, d):
-    return customers(spark, d).filter(c_nationkey__n_name__startswith="N")
+    return customers(spark, d).filter(c_nationkey__n_name__endswith="1")
 
 
 @query("SELECT doc_id + 700 AS doc_id, quality FROM labels WHERE doc_id + 700 NOT IN (SELECT doc_id FROM documents)")
@@ -467,6 +469,113 @@ def upsert_latest(spark, d):
     return _latest_lines(read(spark, d, "lineitem"))
 
 
+class Saved(Model):
+    o_orderkey = UniqueKeyField(type=int)
+    o_orderstatus = KeyField()
+    o_totalprice = SortedField(type=float, partition_by=("o_orderstatus",))
+
+
+_SAVED = (
+    "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 5 = 0"
+)
+
+
+def _saved(spark, d) -> Snapshots:
+    """Two saves into a partitioned table: orders, then some of them again, changed, new or not valid."""
+    table = Snapshots(spark, f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}")
+    rows = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    again = rows.where("o_orderkey % 5 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    wrong = rows.where("o_orderkey % 7 = 0").withColumn("o_totalprice", F.lit(None).cast("double"))
+    Saved.save(table, rows.where("o_orderkey % 11 <> 0"), partition_by=("o_orderstatus",))
+    Saved.save(table, again.unionByName(wrong), partition_by=("o_orderstatus",))
+    return table
+
+
+@query(_SAVED)
+def save_upsert(spark, d):
+    return _saved(spark, d).read().select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query(f"SELECT * FROM ({_SAVED}) WHERE o_orderstatus = 'F' AND o_totalprice >= 100000")
+def partitioned_scan(spark, d):
+    """A range in one partition of a table whose layout has directories by partition."""
+    path = f"{shared_folder(spark)}/sorted-{uuid.uuid4().hex}"
+    write_sorted(Saved, _saved(spark, d).read(), path)
+    return Saved.on(spark.read.parquet(path)).filter(o_orderstatus="F", o_totalprice__gte=100000).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query(
+    "SELECT event_type, (epoch_us(ts) // 3600000000) AS hour, max(event_id) AS event_id FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2 "
+    "UNION ALL SELECT event_type, (epoch_us(ts) // 3600000000), event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'"
+)
+def history_compaction(spark, d):
+    e = _t(spark, d).select("event_id", "event_type", "ts", F.floor(F.col("t") / 3600).alias("hour"))
+    out = mutate.compacted(e, ["event_type"], F.col("hour"), F.col("ts") < F.lit(dt.datetime(2024, 1, 15)).cast("timestamp_ntz"), F.col("event_id"))
+    return out.select("event_type", "hour", "event_id")
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0")
+def delete_by_keys(spark, d):
+    df = read(spark, d, "labels").select("doc_id", "quality")
+    return mutate.delete_keys(df, df.where("doc_id % 6 = 0"), ["doc_id"])
+
+
+@query("SELECT o_orderkey, o_totalprice AS price, 'x' AS tag FROM orders")
+def migration(spark, d):
+    return mutate.migrated(read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), {"o_totalprice": "price"}, {"tag": F.lit("x")}, ("o_orderstatus",))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 4 = 0 OR ts + INTERVAL 5 DAY > TIMESTAMP '2024-01-20'")
+def expiry(spark, d):
+    expires = F.when(F.col("event_id") % 4 != 0, F.col("ts") + F.expr("INTERVAL 5 DAYS"))
+    df = read(spark, d, "events").withColumn("expires", expires)
+    return mutate.alive(df, "expires", F.lit(dt.datetime(2024, 1, 20)).cast("timestamp_ntz")).select("event_id")
+
+
+class Lap(Model):
+    event_id = UniqueKeyField(type=int)
+    at = SortedField(type=dt.time)
+
+
+@query("SELECT event_id, epoch_us(ts) % 86400000000 AS at FROM events WHERE ts::TIME >= TIME '09:30:00' AND ts::TIME < TIME '11:00:00.5'")
+def time_range(spark, d):
+    at = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000))
+    q = Lap.on(read(spark, d, "events").select("event_id", at.alias("at")))
+    return q.filter(at__gte=dt.time(9, 30), at__lt=dt.time(11, 0, 0, 500_000))
+
+
+class Frames(Model):
+    conv_id = UniqueKeyField(type=int)
+    turns = FrameField(columns="turn long, role string")
+
+
+@query("SELECT DISTINCT conv_id, turn, role FROM conversations")
+def frame_roundtrip(spark, d):
+    """Small tables in cells, saved, read and taken apart again."""
+    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role"))).alias("turns"))
+    table = Snapshots(spark, f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}")
+    Frames.save(table, rows)
+    return table.read().select("conv_id", F.inline("turns"))
+
+
+@query("SELECT c_custkey, c_mktsegment || ':' || c_name AS name FROM customer")
+def key_parse(spark, d):
+    """Composite key texts of awkward parts, taken apart again."""
+    awkward = F.concat_ws(":", "c_mktsegment", "c_name")
+    text = scalar.composite_key("Customer", F.col("c_custkey"), awkward)
+    parts = read(spark, d, "customer").select(scalar.key_parts(text).alias("parts"))
+    return parts.select(F.col("parts")[1].cast("long").alias("c_custkey"), F.col("parts")[2].alias("name"))
+
+
+@query("SELECT * FROM part WHERE p_partkey IN (3, 5)")
+def by_key_text(spark, d):
+    class Keyed(Model):
+        p_partkey = UniqueKeyField(type=int)
+        p_name = StringField()
+
+    return Keyed.on(read(spark, d, "part")).by_key_text("Keyed:3", "Keyed:5")
+
+
 @query(
     "SELECT CASE WHEN n_nationkey < 5 THEN n_nationkey + 20 ELSE n_nationkey END::INTEGER AS n_nationkey, n_name, n_regionkey FROM nation "
     "WHERE n_nationkey < 20"
@@ -602,6 +711,18 @@ def near_5min(spark, d):
     return _t(spark, d).select("event_id", scalar.is_near_5min(F.col("t")).alias("near"))
 
 
+@query(f"SELECT event_id, abs(s - round_even(s, 0)) < 0.15 AS near FROM (SELECT event_id, (t - 1483228800) / 300.0::DOUBLE AS s FROM {_T})")
+def near_5min_score(spark, d):
+    return _t(spark, d).select("event_id", scalar.is_near_5min_score(scalar.score_from_ts(F.col("t"))).alias("near"))
+
+
+@query(f"SELECT event_id, ((t + 45) // 300) * 300 AS mark, ((t + 150) // 3600) * 3600 AS hour, (t + 45) % 300 < 90 AS near FROM {_T}")
+def sql_functions(spark, d):
+    """The functions called from SQL text."""
+    scalar.register_functions(spark)
+    return _t(spark, d).selectExpr("event_id", "nearest_5min(t) AS mark", "nearest_1hr(t) AS hour", "is_near_5min(t) AS near")
+
+
 @query("SELECT event_id, printf('%.5e', value * 1.2345678)::DOUBLE AS v FROM events")
 def sigfig6(spark, d):
     return read(spark, d, "events").select("event_id", scalar.significant(F.col("value") * 1.2345678).alias("v"))
