@@ -22,9 +22,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelframe.llm.common import map_in_arrow
+
 MARK = "▁"
 #: Units longer than this are not remembered, and a worker forgets all units once it holds so many.
-LONGEST_KEPT, MOST_KEPT = 48, 600_000
+LONGEST_KEPT, MOST_KEPT = 48, 200_000
 
 
 class PieceCounter:
@@ -112,10 +114,6 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                 [batch.column("doc_id").cast(pa.int64()), batch.column("n_bytes"), found], ["doc_id", "n_bytes", "n_tokens"]
             )
 
-    return (
-        docs.select(
-            F.col("doc_id").cast("long"), "text", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes")
-        )
-        .mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-    )
+    n_bytes = F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes")
+    given = docs.select(F.col("doc_id").cast("long"), "text", n_bytes)
+    return map_in_arrow(given, run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,19 +13,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a fresh local one only where none is named (tests)."""
+    """The shared folder that the session names; a fresh local one only where none is named in local mode (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = f"file://{tempfile.mkdtemp(prefix='modelframe-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Stored:
     """A DataFrame written as Parquet to the shared folder: a short lineage that outlives lost executors."""
 
@@ -54,6 +68,17 @@ def ascii_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches between the JVM and Python of this session hold BATCH bytes at most, or one row; all but small ones cost memory only."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def trimmed() -> None:
     """Gives freed memory back to the system: a worker stays beside others of its executor when its task is done."""
     pa.default_memory_pool().release_unused()

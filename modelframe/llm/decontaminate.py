@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelframe.llm.common import Stored, distinct_chunks, portions, spread
+from modelframe.llm.common import Stored, distinct_chunks, map_in_arrow, portions, spread
 
 #: 1: the token counts. Found by greedy search over all patterns of 5 to 24 tokens that have to be hit.
 MASKS = (
@@ -126,15 +126,14 @@ def test_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
             )
 
     items = Stored(
-        benchmark.select(F.col("item_id").cast("long"), "text")
-        .mapInArrow(cut, "item_id long, tokens array<long>")
+        map_in_arrow(benchmark.select(F.col("item_id").cast("long"), "text"), cut, "item_id long, tokens array<long>")
         .where(F.size("tokens") >= FEWEST)
         .groupBy("tokens")
         .agg(F.min("item_id").alias("item_id"))
         .where(F.col("item_id").isNotNull())
         .select("item_id", "tokens")
     ).df
-    return items, Stored(items.mapInArrow(windows, "hash long, item_id long, at int")).df
+    return items, Stored(map_in_arrow(items, windows, "hash long, item_id long, at int")).df
 
 
 def bitmap(hashes: DataFrame, bits: int = BITS) -> bytes:
@@ -208,7 +207,8 @@ def regions(docs: DataFrame, of_tests: bytes, short_items: bool, bits: int = BIT
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays(columns, ["key_id", "key_text", "first", "tokens", "hashes", "places"])
 
-    return docs.select(*_row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(
+    return map_in_arrow(
+        docs.select(*_row_key(F.col("doc_id"), F.col("text")), "text"),
         run,
         "key_id long, key_text long, first long, tokens array<long>, hashes array<long>, places array<long>",
     )

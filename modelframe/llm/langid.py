@@ -18,9 +18,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelframe.llm.common import free_name, map_in_arrow, small_batches
+
 #: Longest n-gram, ranks in a language's profile, ranks taken from a document.
 NGRAM, PROFILE, TAKEN = 3, 400, 300
 UNKNOWN = "und"
@@ -101,16 +103,12 @@ def profiles(docs: DataFrame, most: int = PROFILE, longest: int = NGRAM) -> dict
         if gathered:
             yield flush()
 
+    given = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     counts = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("text", "lang")
-        .mapInArrow(run, "lang string, code long, n long")
+        map_in_arrow(given, run, "lang string, code long, n long")
         .groupBy("lang", "code")
         .agg(F.sum("n").alias("n"))
     )
-    # top rows of each language without a window: the n-th largest count bounds what is kept before ranking
-    from pyspark.sql import Window
-
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).toPandas()
     return {
@@ -162,6 +160,7 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def identified(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one for each row of docs; learns from rows not held out."""
     fold = remainder(F.col("doc_id"), modulus)
+    small_batches(docs.sparkSession)
     learned = profiles(docs.where(fold != held_out))
     return docs.select(
         F.col("doc_id").cast("long"), (fold == held_out).alias("held_out"), predicted(F.col("text"), learned).alias("found")
@@ -170,8 +169,9 @@ def identified(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFram
 
 def kept_languages(docs: DataFrame, least_score: float = 0.02) -> DataFrame:
     """The rows of docs whose text has a language: some letter, and ranks that some profile shares."""
+    small_batches(docs.sparkSession)
     learned = profiles(docs)
-    mark = "__language_of_text"
+    mark = free_name(docs, "language_of_text")
     return docs.withColumn(mark, predicted(F.col("text"), learned)).where(
         (F.col(f"{mark}.lang") != UNKNOWN) & (F.col(f"{mark}.score") >= least_score)
     ).drop(mark)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelframe.llm.common import Stored, ascii_words, portions, trimmed
+from modelframe.llm.common import Stored, ascii_words, free_name, map_in_arrow, portions, trimmed
 from modelframe.llm.components import connected_components
 from modelframe.llm.simhash import fingerprint, links, shingle_hashes
 
@@ -88,9 +88,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ["doc_id", "key_text", "node", "fp", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(11)).alias("key_text"), "text").mapInArrow(
-        run, "doc_id long, key_text long, node long, fp long, bands array<long>"
-    )
+    given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(11)).alias("key_text"), "text")
+    return map_in_arrow(given, run, "doc_id long, key_text long, node long, fp long, bands array<long>")
 
 
 def met_in_bands(nodes: DataFrame) -> DataFrame:
@@ -161,7 +160,8 @@ def still_apart(met: DataFrame, roots: DataFrame, texts: DataFrame, best: bool,
         .select("band", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / TILE).alias("lefts"), F.ceil(F.col("all") / TILE).alias("rights"))
     )
     mixed = Stored(others.join(of_band, "band")).df
-    sketches_of = texts.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(sketched, "node long, sketch binary")
+    wanted = texts.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "text")
+    sketches_of = map_in_arrow(wanted, sketched, "node long, sketch binary")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     one = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n))
     sides = (
@@ -198,7 +198,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
     of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return map_in_arrow(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -220,9 +220,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
     here = F.xxhash64(docs["text"], F.lit(11))
     same = lambda w: docs["doc_id"].cast("long").eqNullSafe(w["id"]) & (here == w["key"])
-    texts = Stored(
-        docs.join(wanted, same(wanted)).select("node", docs["text"]).groupBy("node").agg(F.any_value("text").alias("text"))
-    ).df
+    given = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text", F.lit(11)).alias("key"), "text").alias("g")
+    of_node = given.join(wanted.alias("w"), F.col("g.id").eqNullSafe(F.col("w.id")) & (F.col("g.key") == F.col("w.key")))
+    texts = Stored(of_node.select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))).df
     found = Stored(verified(pairs, texts, similarity)).df
     roots = Stored(connected_components(found, "a", "b")).df
     for best in (True, False):
@@ -241,6 +241,6 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     kept = docs.join(chosen, same(chosen), "left_semi")
     repeated = held.groupBy("doc_id", "key_text").count().where("count > 1").limit(1).count()
     if repeated:  # equal rows: one stays
-        mark = "__text_of_row"
+        mark = free_name(docs, "hash_of_text")
         kept = kept.withColumn(mark, F.xxhash64("text", F.lit(11))).dropDuplicates(["doc_id", mark]).drop(mark)
     return kept

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelframe.llm.common import Stored, ascii_words
+from modelframe.llm.common import Stored, ascii_words, map_in_arrow
 from modelframe.llm.components import connected_components
 
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 [batch.column("doc_id").cast(pa.int64()), pa.array(out.view(np.int64))], ["doc_id", "fp"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 def ball(half: int, bits: int = 64) -> list[int]:
