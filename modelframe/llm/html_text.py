@@ -10,6 +10,11 @@ an article too: boxes, lists, tables and paragraphs that recur. Parts of a passa
 in a sentence) stay there unless the whole recurs. If that would take more than half of the articles' text, the page is
 a near copy of others of its host and its text stays whole.
 
+Menus, adverts and footers often differ from page to page in their words, not in their build. So on pages without article
+or main element a second hash counts as well: that of a box's shape (tags, names, where text stands, but no words; equal
+items in a row count as one) and its place. A box is an outermost element without a passage, and stands beside no passage.
+A box whose shape recurs goes too, unless that would leave less than a quarter of the page's text.
+
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones
 dropped, and joined in page order by one line feed.
 
@@ -30,16 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelframe.llm.common import Stored, portions
+from modelframe.llm.common import Stored, map_in_arrow, portions
 
 #: A subtree is template if it is on at least this share of its host's pages, and on so many.
 SHARE, PAGES = 0.5, 3
 #: Broadcast the hosts' templates up to so many hashes; join by shuffle beyond.
 BROADCAST = 1_000_000
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
-)
+_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_TAG_STOPS = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 # fixed values: HTML's elements by kind
@@ -94,13 +98,16 @@ def _names_other(value: str) -> bool:
 #: Elements that hold a passage, and those that only go with the list, table or section they are part of.
 _PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup li dt dd tr td th thead tbody tfoot caption figcaption legend option summary".split())
 _PASSAGES = _PARTS | {"p", "pre", "blockquote", "address"}
+#: What makes an element more than a box.
+_PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 hgroup article main".split())
 
 
 class Node:
-    __slots__ = ("dropped", "hash", "kids", "parent", "tag")
+    __slots__ = ("attributes", "dropped", "hash", "kids", "parent", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, attributes: str):
+        self.tag, self.parent, self.attributes = tag, parent, attributes
+        self.dropped = bool(tag) and _is_dropped(tag, attributes)
         self.kids: list[Node | str] = []
         self.hash = 0
 
@@ -121,25 +128,43 @@ def _is_dropped(tag: str, attributes: str) -> bool:
 
 def parse(source: str) -> Node:
     """The page's tree; its nodes' hashes cover tags and text below."""
-    root = top = Node("", None, False)
+    root = top = Node("", None, "")
     at, size = 0, len(source)
     open_tags: dict[str, int] = {}
+    #: Quotation marks of which none is left.
+    unpaired: set[str] = set()
+
+    def tag_end(at: int) -> int:
+        """Where the tag's `>` stands, outside quoted values; a mark that nothing closes is like any other character."""
+        while m := _TAG_STOPS.search(source, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            if m[0] not in unpaired:
+                other = source.find(m[0], at)
+                if other < 0:
+                    unpaired.add(m[0])
+                else:
+                    at = other + 1
+        return size
 
     def close(node: Node) -> Node:
         open_tags[node.tag] -= 1
         return node.parent or root
 
     while at < size:
-        m = _TOKEN.search(source, at)
+        m = _OPENS.search(source, at)
         begin = m.start() if m else size
         if begin > at:
             top.kids.append(source[at:begin])
         if not m:
             break
-        at = max(m.end(), begin + 1)
-        tag = (m[2] or "").lower()
-        if not tag:
+        if not m[2]:
+            end = source.find("-->" if m[0] == "<!--" else ">", m.end())
+            at = size if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
+        tag, end = m[2].lower(), tag_end(m.end())
+        attributes, at = source[m.end() : end], end + 1
         if m[1]:
             if tag == "br":
                 top.kids.append("\n")
@@ -178,14 +203,14 @@ def parse(source: str) -> Node:
         if tag in _VOID:
             top.kids.append("\n" if tag in ("br", "hr") else "")
             continue
-        node = Node(tag, top, _is_dropped(tag, m[3] or ""))
+        node = Node(tag, top, attributes)
         top.kids.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             node.kids.append(source[at : end.start() if end else size])
             at = end.end() if end else size
             continue
-        if (m[3] or "").rstrip().endswith("/") and tag not in _BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"):
+        if attributes.rstrip().endswith("/") and tag not in _BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"):
             continue
         open_tags[tag] = open_tags.get(tag, 0) + 1
         top = node
@@ -223,14 +248,75 @@ def _counted(root: Node) -> Iterator[Node]:
     return (n for n in found if id(n) not in holds)
 
 
+def _build(node: Node) -> bytes:
+    """The element's tag and the names its class and id give, without numbers."""
+    names = sorted({re.sub("[0-9]+", "", t) for m in _ATTRIBUTE.finditer(node.attributes) if m[1].lower() in ("class", "id") for t in (m[2] or m[3] or m[4] or "").split()})
+    return f"{node.tag} {' '.join(names)}".encode("utf-8", "replace")
+
+
+def _boxes(root: Node) -> Iterator[tuple[Node, int]]:
+    """The boxes of a page without article or main element, each with the hash of its shape and place."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [k for k in node.kids if isinstance(k, Node)]
+    prose: set[int] = set()
+    shape: dict[int, int] = {}
+    for node in reversed(order):
+        own = xxhash.xxh3_64(_build(node), seed=1)
+        last = None
+        for k in node.kids:
+            if isinstance(k, Node):
+                if id(k) in prose:
+                    prose.add(id(node))
+                now = shape[id(k)]
+                if now != last or k.tag in _BLOCK and k.tag not in _PARTS:
+                    own.update(b"<%d>" % now)
+                last = now
+            elif k.strip():
+                own.update(b"t")
+                last = None
+        if node.tag in _PROSE:
+            prose.add(id(node))
+        shape[id(node)] = own.intdigest()
+    # down from the top through what holds prose
+    down: list[tuple[Node, int]] = [(root, 0)]
+    while down:
+        node, place = down.pop()
+        if node.tag in _PROSE:
+            continue
+        place = xxhash.xxh3_64_intdigest(_build(node) + b"%d" % place, seed=2)
+        kids = [k for k in node.kids if isinstance(k, Node)]
+        beside = any(k.tag in _PROSE for k in kids) or any(isinstance(k, str) and k.strip() for k in node.kids)
+        for k in kids:
+            if id(k) in prose:
+                down.append((k, place))
+            elif not beside and k.tag not in ("head", "body", "html"):
+                yield k, xxhash.xxh3_64_intdigest(b"%d %d" % (place, shape[id(k)]), seed=3)
+
+
+def _has_article(root: Node) -> bool:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main"):
+            return True
+        stack += [k for k in node.kids if isinstance(k, Node)]
+    return False
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
 def subtree_hashes(source: str | None) -> tuple[int, list[int]]:
-    """The page's hash, and the distinct ones of its subtrees that may be template."""
+    """The page's hash, and the distinct ones of its subtrees, and of its boxes' shapes, that may be template."""
     root = parse(source or "")
-    return _signed(root.hash), list({_signed(n.hash) for n in _counted(root)})
+    found = {_signed(n.hash) for n in _counted(root)}
+    if not _has_article(root):
+        found |= {_signed(h) for _, h in _boxes(root)}
+    return _signed(root.hash), list(found)
 
 
 def _text(tops: list[Node], gone: set[int], spared: set[int]) -> str:
@@ -289,9 +375,14 @@ def main_text(source: str | None, template: frozenset[int] | set[int] = frozense
         return ""
     root = parse(source)
     gone = {id(n) for n in _counted(root) if _signed(n.hash) in template} if template else set()
+    boxes = {id(n) for n, h in _boxes(root) if _signed(h) in template} if template and not _has_article(root) else set()
 
     def text(tops: list[Node], spared: set[int]) -> str:
         found = _text(tops or [root], gone, spared)
+        if boxes and not tops:
+            less = _text([root], gone | boxes, spared)
+            if 4 * len(less) >= len(found):
+                return less
         if gone and (tops or not found):
             whole = _text(tops or [root], set(), spared)
             if 2 * len(found) < len(whole):
@@ -321,8 +412,7 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
             )
 
     counted = Stored(
-        pages.select("host", "html")
-        .mapInArrow(run, "host string, page long, found array<long>")
+        map_in_arrow(pages.select("host", "html"), run, "host string, page long, found array<long>")
         .groupBy("host", "page")
         .agg(F.first("found").alias("found"))
         .select("host", F.explode(F.concat("found", F.array(F.lit(0).cast("long")))).alias("hash"))
@@ -364,6 +454,5 @@ def extracted(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return rows.join(side, "host", "left").select("page_id", "url", "html", "template").mapInArrow(
-        run, "page_id long, url string, text string, n_chars long"
-    )
+    given = rows.join(side, "host", "left").select("page_id", "url", "html", "template")
+    return map_in_arrow(given, run, "page_id long, url string, text string, n_chars long")
