@@ -2,8 +2,8 @@
 
 Documents become token ids and one end id; only those longer than a sequence are cut. Pieces are dealt to cells of
 a bounded size, each packed alone: best fit in falling length, then exchanges between underfull bins (move one,
-one for one, two for one) that raise the sum of squared fills until bins empty or none helps. A cell stops at once
-when it needs no more bins than its tokens fill, so cells cost at most a few bins of tens of thousands.
+one for one, two for one), each raising the sum of squared fills, until bins empty or none helps. A cell stops at once
+when it needs no more bins than its tokens fill. What is left in underfull bins is dealt anew and packed once more.
 
 Edge cases: a null text is empty and has the end id alone; rows with equal doc_id or text are packed each; an empty
 table gives no rows; extra columns are ignored; a very long text becomes many pieces, dealt to cells one by one.
@@ -25,17 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from modelframe.llm.common import Stored, distinct_chunks, portions, spread
+from modelframe.llm.common import Stored, distinct_chunks, map_in_arrow, portions, spread
 
 #: Parts longer than this are not remembered, and a worker remembers so many.
-LONGEST_KEPT, MOST_KEPT = 32, 1_000_000
+LONGEST_KEPT, MOST_KEPT = 32, 200_000
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[!-&(-@\\[-`{-~]"
 #: A run of letters before white space, a mark or the end; a run of marks before white space, a letter or the end; else all.
 _PARTS = rf"{_LETTERS}+(?=[\t-\r !-&(-@\[-`{{-~]|\Z)|{_MARKS}+(?=[\t-\r A-Za-zÀ-ÖØ-öø-ÿ]|\Z)|[^\t-\r ]+"
 #: Pieces in a cell, on average.
-CELL = 40_000
-#: Rounds of the local search over the underfull bins of a cell.
-ROUNDS = 8
+CELL = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The byte-level alphabet: bytes that aren't printable in Latin-1 stand 256 and more characters on, in order.
 _BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
@@ -133,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -159,65 +157,104 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """Moves and exchanges between underfull bins, each raising the sum of squared fills, until bins empty."""
-    least = -(-int(lengths.sum()) // capacity) if len(lengths) else 0
-    bins = [list(b) for b in bins]
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        live = sum(1 for b in bins if b)
-        if live <= least:
-            break
-        moved = False
-        open_bins = sorted((k for k, f in enumerate(fill) if 0 < f < capacity), key=lambda k: fill[k])
-        fullest = open_bins[::-1]
-        for a in open_bins:
-            if not bins[a]:
-                continue
-            for i in sorted(bins[a], key=lambda i: -size[i]):
-                # piece i leaves a for a fuller bin: alone, for one smaller piece, or for two
-                best = None
-                for b in fullest:
-                    if b == a or not bins[b] or fill[b] <= fill[a]:
+class Exchange:
+    """Moves and exchanges between underfull bins, each raising the sum of squared fills, until bins empty or none helps.
+
+    A piece leaves its bin for another: alone, for one smaller piece, or for two. What is tried in vain is remembered by
+    the piece's size and its bin's fill until something moves, so equal pieces cost one scan.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.capacity, self.bins = capacity, [list(b) for b in bins]
+        self.size = np.asarray(lengths, np.int64)
+        self.fill = np.array([int(self.size[b].sum()) for b in self.bins], np.int64)
+        #: Full bins stay as they are.
+        self.open = np.flatnonzero(self.fill < capacity)
+        self.piece = np.array([i for b in self.open for i in self.bins[b]], np.int64)
+        self.bin_of = np.full(len(self.size), -1, np.int64)
+        for b in self.open:
+            self.bin_of[self.bins[b]] = b
+        #: The sums of a bin's two smallest and of its two largest pieces; no pair where there are fewer than two.
+        self.low, self.high = np.full(len(self.bins), 2 * capacity + 1, np.int64), np.full(len(self.bins), -1, np.int64)
+        for b in self.open:
+            self._ends(b)
+
+    def _ends(self, b: int) -> None:
+        own = np.sort(self.size[self.bins[b]])
+        self.low[b], self.high[b] = (own[0] + own[1], own[-1] + own[-2]) if len(own) > 1 else (2 * self.capacity + 1, -1)
+
+    def _one(self, a: int, s: int) -> tuple[int, tuple[int, ...]] | None:
+        """The fullest bin that takes a piece of size s from bin a, alone; else the piece that best comes back for it."""
+        f = self.fill[self.open]
+        fits = (f + s <= self.capacity) & (f + s > self.fill[a]) & (f > 0) & (self.open != a)
+        if fits.any():
+            return int(self.open[np.where(fits, f, -1).argmax()]), ()
+        there = self.bin_of[self.piece]
+        net, f = s - self.size[self.piece], self.fill[there]
+        gain = np.where((net > 0) & (f + net <= self.capacity) & (there != a), net * (f - self.fill[a] + net), 0)
+        k = int(gain.argmax()) if len(gain) else 0
+        return (int(there[k]), (int(self.piece[k]),)) if len(gain) and gain[k] > 0 else None
+
+    def _two(self, a: int, s: int) -> tuple[int, tuple[int, ...]] | None:
+        """A bin, fullest first, two of whose pieces come back for one of size s."""
+        f = self.fill[self.open]
+        maybe = (self.low[self.open] < s) & (self.high[self.open] >= s - (self.capacity - f)) & (f + s - self.low[self.open] > self.fill[a]) & (self.open != a)
+        found = self.open[maybe]
+        for b in found[np.argsort(-self.fill[found], kind="stable")].tolist():
+            own = sorted(self.bins[b], key=lambda j: self.size[j])
+            sizes, least, best = self.size[own].tolist(), s - (self.capacity - int(self.fill[b])), None
+            low, high = 0, len(own) - 1
+            while low < high:
+                both = sizes[low] + sizes[high]
+                if both < least:
+                    low += 1
+                else:
+                    if both < s and self.fill[b] + s - both > self.fill[a] and (best is None or both < best[0]):
+                        best = (both, own[low], own[high])
+                    high -= 1
+            if best:
+                return b, best[1:]
+        return None
+
+    def run(self) -> list[list[int]]:
+        least = -(-int(self.size.sum()) // self.capacity)
+        live = sum(1 for b in self.bins if b)
+        vain: set[tuple[int, int]] = set()
+        moved = True
+        while moved and live > least:
+            moved = False
+            for a in self.open[np.argsort(self.fill[self.open], kind="stable")].tolist():
+                for i in sorted(self.bins[a], key=lambda j: -self.size[j]):
+                    key = (int(self.size[i]), int(self.fill[a]))
+                    if key in vain:
                         continue
-                    room = capacity - fill[b]
-                    if not room:
+                    found = self._one(a, key[0]) or self._two(a, key[0])
+                    if found is None:
+                        vain.add(key)
                         continue
-                    if size[i] <= room:
-                        best = (size[i], b, ())
-                        break
-                    lo = size[i] - room  # what must come back, at least
-                    own = sorted(bins[b], key=lambda j: size[j])
-                    for x, j in enumerate(own):
-                        if lo <= size[j] < size[i]:
-                            if best is None or size[i] - size[j] > best[0]:
-                                best = (size[i] - size[j], b, (j,))
-                            break
-                    low, high = 0, len(own) - 1
-                    while low < high:
-                        both = size[own[low]] + size[own[high]]
-                        if both < lo:
-                            low += 1
-                        else:
-                            if both < size[i] and (best is None or size[i] - both > best[0]):
-                                best = (size[i] - both, b, (own[low], own[high]))
-                            high -= 1
-                    if best and best[0] >= room:
-                        break
-                if best:
-                    gain, b, back = best
-                    bins[a].remove(i)
-                    bins[b].append(i)
-                    for j in back:
-                        bins[b].remove(j)
-                        bins[a].append(j)
-                    fill[a] -= gain
-                    fill[b] += gain
+                    b, back = found
+                    vain.clear()
                     moved = True
-        if not moved:
-            break
-    return [b for b in bins if b]
+                    self.bins[a].remove(i)
+                    self.bins[b].append(i)
+                    self.bin_of[i] = b
+                    for j in back:
+                        self.bins[b].remove(j)
+                        self.bins[a].append(j)
+                        self.bin_of[j] = a
+                    net = key[0] - int(self.size[list(back)].sum())
+                    self.fill[a] -= net
+                    self.fill[b] += net
+                    self._ends(a)
+                    self._ends(b)
+                    live -= not self.bins[a]
+                if live <= least:
+                    break
+        return [b for b in self.bins if b]
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    return Exchange(bins, lengths, capacity).run()
 
 
 def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -230,20 +267,32 @@ def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, cell: int = CELL) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one for each piece."""
     held = Stored(pieces(docs, tokenizer_path, capacity, end_id)).df
-    cells = max(1, -(-held.count() // cell))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # one order whatever order the shuffle brought
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable", na_position="first", ignore_index=True)
-        lengths = rows["length"].to_numpy(np.int64)
-        sequence, offset = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-        for k, bin_ in enumerate(pack(lengths, capacity)):
-            sequence[bin_] = k
-            offset[bin_] = np.cumsum(lengths[bin_]) - lengths[bin_]
-        return rows.assign(sequence_id=(rows["cell"].to_numpy(np.int64) << 32) | sequence, offset=offset).drop(columns="cell")
-
-    return (
-        held.withColumn("cell", F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(cells)))
-        .groupBy("cell")
-        .applyInPandas(run, f"{PIECES}, sequence_id long, offset long")
-    )
+
+    def packed_once(rows: DataFrame, level: int) -> DataFrame:
+        """Rows with sequence_id, offset and the sequence's fill."""
+        cells = max(1, -(-rows.count() // cell))
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            # one order whatever order the shuffle brought
+            rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable", na_position="first", ignore_index=True)
+            lengths = rows["length"].to_numpy(np.int64)
+            sequence, offset, fill = (np.empty(len(rows), np.int64) for _ in range(3))
+            for k, bin_ in enumerate(pack(lengths, capacity)):
+                sequence[bin_] = k
+                offset[bin_] = np.cumsum(lengths[bin_]) - lengths[bin_]
+                fill[bin_] = lengths[bin_].sum()
+            ids = (np.int64(level) << 62) | (rows["cell"].to_numpy(np.int64) << 32) | sequence
+            return rows.assign(sequence_id=ids, offset=offset, fill=fill).drop(columns="cell")
+
+        row_no = F.monotonically_increasing_id()
+        return (
+            rows.withColumn("cell", F.pmod(row_no + F.shiftright(row_no, 33), F.lit(cells)))
+            .groupBy("cell")
+            .applyInPandas(run, f"{PIECES}, sequence_id long, offset long, fill long")
+        )
+
+    once = Stored(packed_once(held, 0)).df
+    columns = [*held.columns, "sequence_id", "offset"]
+    # the underfull bins of all cells once more, in another order
+    again = packed_once(once.where(F.col("fill") < capacity).select(*held.columns), 1)
+    return once.where(F.col("fill") == capacity).select(*columns).unionByName(again.select(*columns))
