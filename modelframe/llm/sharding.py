@@ -3,9 +3,9 @@
 Groups go, largest first, to the shard where the dot product of the group's vector with the residual capacity is
 highest (both in shares of the total). No task sees all groups: they are dealt to cells of a bounded size, each cell
 packs its groups into as many bins as there are shards, and those bins are the next level's groups, until one cell
-is left, whose bins are the shards. A group beyond a small share of the whole is first split into parts, so a text
-that holds a third of all rows spreads like any other; at most 1/share groups are that large, which bounds what is
-broadcast. Places (slot) are sums of a group's offsets within its bins, so no shard is ever gathered in one task.
+is left, whose bins are the shards. A group beyond a small share of the whole or more rows than a cell is first split
+into parts, so a text that holds a third of all rows spreads like any other; the join that tells rows their parts sends
+the list of such groups to all only up to a counted number of them. Places (slot) are sums of a group's offsets within its bins, so no shard is ever gathered in one task.
 
 Edge cases: null texts form one group of size 0 (plus the fixed 16 bytes a row); repeated rows are placed each;
 a null doc_id is a row like any other; an empty table gives no rows; extra columns are ignored; a single text
@@ -26,6 +26,8 @@ CELL = 20_000
 #: A group with more than 1 / (shards * SPLIT) of the bytes or rows is split.
 SPLIT = 4
 DIMS = ("bytes", "tokens", "n")
+#: Groups to split that are broadcast at most; more go through a shuffle.
+BROADCAST = 100_000
 #: Bytes are the law, tokens and rows follow as far as they can.
 WEIGHTS = np.array([4.0, 1.0, 1.0])
 #: Exchanges that even out the bytes stop at this share of a bin, or after so many.
@@ -110,8 +112,10 @@ def sharded(docs: DataFrame, shards: int = 40, cell: int = CELL) -> DataFrame:
     total = base.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     most = shards * SPLIT
     part = F.ceil(F.greatest(F.col("bytes") * F.lit(most) / F.lit(total["bytes"] or 1), F.col("n") * F.lit(most) / F.lit(total["n"] or 1)))
-    # no more groups than 2 * most can be that large, so this side is bounded
-    large = F.broadcast(grouped.where((part > 1) & (F.col("n") > 1)).select("text_hash", F.least(part, F.col("n")).alias("parts")))
+    part = F.greatest(part, F.ceil(F.col("n") / F.lit(cell)))
+    large = Stored(grouped.where((part > 1) & (F.col("n") > 1)).select("text_hash", F.least(part, F.col("n")).alias("parts"))).df
+    if large.count() <= BROADCAST:
+        large = F.broadcast(large)
     held = Stored(
         base.withColumn("uid", F.monotonically_increasing_id())
         .join(large, "text_hash", "left")
