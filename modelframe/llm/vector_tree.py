@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by a hierarchical k-means tree and best-bin-first search.
 
-The tree is fitted on a bounded sample, so it has a bounded number of nodes and is sent out with the code; every
-vector is indexed under its leaf. A query walks the tree through a priority queue of nodes, nearest centre first, and
+The tree's top is fitted on a bounded sample. Leaves that hold too many of the table's rows are then split by trees of
+their own, each fitted in Spark on a bounded sample of the leaf's rows, until none does or there are MOST leaves; so
+leaves keep their size as the table grows, and what a query visits doesn't. The tree, some MB and at most MOST leaves, is
+sent out with the code; every vector is indexed under its leaf. A query walks the tree through a priority queue of nodes, nearest centre first, and
 visits leaves in the order they come up. How many it visits is calibrated: on sample queries the true neighbours are
 found by brute force over all vectors, and visits widen until the asked recall is reached.
 
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelframe.llm.common import Stored
+from modelframe.llm.common import Stored, map_in_arrow
 
 #: Vectors the tree is fitted on at most, children of a node, sample vectors a leaf has at most.
 SAMPLE, BRANCH, LEAF = 20_000, 8, 256
+#: Rows that a leaf should hold at most, rows a leaf's own tree is fitted on, leaves that the whole tree has at most.
+ROWS, FITTED, MOST = 4096, 20_000, 200_000
 #: Sample queries for calibration, recall asked of them.
 TRIALS, RECALL = 200, 0.95
 #: Vectors of a part of a leaf, queries of a part of its visitors.
@@ -75,9 +79,25 @@ class Tree:
                 todo.append((len(self.centre), x[own == j]))
                 self.centre.append(centres[j])
                 self.kids.append([])
+        self._numbered()
+
+    def _numbered(self) -> None:
         self.centre_of = np.array(self.centre)
         self.leaf_no = {n: i for i, n in enumerate(n for n, k in enumerate(self.kids) if not k)}
 
+    def graft(self, grown: dict[int, tuple[list[list[int]], np.ndarray]]) -> None:
+        """Puts trees (children, centres; node 0 is the leaf itself) in the place of numbered leaves."""
+        node_of = {i: n for n, i in self.leaf_no.items()}
+        for leaf, (kids, centres) in sorted(grown.items()):
+            # nodes but the first move behind those that are there
+            moved = [node_of[leaf], *range(len(self.centre), len(self.centre) + len(kids) - 1)]
+            for k, own in enumerate(kids):
+                if k:
+                    self.centre.append(centres[k])
+                    self.kids.append([])
+                self.kids[moved[k]] = [moved[j] for j in own]
+        self._numbered()
+
     def leaves(self) -> int:
         return len(self.leaf_no)
 
@@ -141,7 +161,42 @@ def _top(keys: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.nd
     return order[place < k]
 
 
-def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
+def _refined(tree: Tree, distinct: DataFrame, rows_a_leaf: int = ROWS, fitted: int = FITTED, most: int = MOST) -> Tree:
+    """The tree with leaves split until they hold about so many rows of the table (v)."""
+    kind = distinct.schema["v"].dataType.simpleString()
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(tree.assign(_vectors(batch.column("v"))))], ["v", "leaf"])
+
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        x = _vectors(rows.column("v").combine_chunks())
+        # as many rows of the sample to a leaf as stand for rows_a_leaf of the table
+        own = Tree(x, leaf=max(4, int(len(x) * rows_a_leaf / rows.column("n")[0].as_py())))
+        found = [[int(key[0].as_py())] * len(own.kids), list(range(len(own.kids))), own.kids, own.centre_of.tolist()]
+        return pa.table(dict(zip(("leaf", "node", "kids", "centre"), (pa.array(found[0], pa.int32()), pa.array(found[1], pa.int32()), pa.array(found[2], pa.list_(pa.int32())), pa.array(found[3], pa.list_(pa.float64()))))))
+
+    while tree.leaves() < most:
+        index = map_in_arrow(distinct.select("v"), placed, f"v {kind}, leaf int")
+        held = index.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * rows_a_leaf)
+        large = sorted(((r["n"], r["leaf"]) for r in held.collect()), reverse=True)[: max(1, most - tree.leaves())]
+        if not large:
+            break
+        counts = distinct.sparkSession.createDataFrame([(leaf, n) for n, leaf in large], "leaf int, n long")
+        whole = 1 << 30
+        some = index.join(F.broadcast(counts), "leaf").where(F.pmod(F.xxhash64("v", F.lit(tree.leaves())), F.lit(whole)) < F.lit(float(fitted * whole)) / F.col("n"))
+        grown: dict[int, dict[int, tuple[list[int], list[float]]]] = {}
+        for r in some.groupBy("leaf").applyInArrow(fit, "leaf int, node int, kids array<int>, centre array<double>").collect():
+            grown.setdefault(r["leaf"], {})[r["node"]] = (r["kids"], r["centre"])
+        before = tree.leaves()
+        tree.graft({leaf: ([own[k][0] for k in sorted(own)], np.array([own[k][1] for k in sorted(own)])) for leaf, own in grown.items()})
+        if tree.leaves() == before:  # what is left are vectors too alike to part
+            break
+    return tree
+
+
+def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL, rows_a_leaf: int = ROWS) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for rows with vec_id divisible by `every`, the k largest inner products."""
     rows = taking_part(embeddings)
     kind = rows.schema["v"].dataType.simpleString()
@@ -153,7 +208,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
     )
     if not len(sample):
         return embeddings.sparkSession.createDataFrame([], schema)
-    tree = Tree(sample)
+    tree = _refined(Tree(sample), distinct, rows_a_leaf)
     leaf_of = tree.assign(sample)
     held_by = np.bincount(leaf_of, minlength=tree.leaves())
 
@@ -164,13 +219,13 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["v", "ids", "leaf"])
 
     index = Stored(
-        distinct.select("v", "ids")
-        .mapInArrow(placed, f"v {kind}, ids array<long>, leaf int")
+        map_in_arrow(distinct.select("v", "ids"), placed, f"v {kind}, ids array<long>, leaf int")
         .withColumn("uid", F.monotonically_increasing_id())
     ).df
     parts_of = index.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
     most = _calibrated(index, tree, sample, k, recall)
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("v").agg(F.collect_list("vec_id").alias("query_ids"))
+    asking = rows.where(F.col("vec_id") % every == 0).select("v", F.col("vec_id").alias("query_id"))
+    queries = asking.select("v").distinct()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,8 +246,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
 
     asked = Stored(queries.withColumn("query", F.monotonically_increasing_id())).df
     visits = Stored(
-        asked.select("query", "v")
-        .mapInArrow(walk, "query long, floor double, leaves array<int>")
+        map_in_arrow(asked.select("query", "v"), walk, "query long, floor double, leaves array<int>")
         .select("query", "floor", F.explode("leaves").alias("leaf"))
     ).df
     turns_of = visits.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(VISITORS)).alias("turns"))
@@ -253,7 +307,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
     # a query is no candidate of its own
     others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k)
     return (
-        best.join(asked.select("query", F.explode("query_ids").alias("query_id")), "query")
+        best.join(asking.join(asked, "v").select("query", "query_id"), "query")
         .select("query_id", F.posexplode(others).alias("at", "f"))
         .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.s")).alias("score"))
     )
@@ -300,8 +354,7 @@ def _calibrated(index: DataFrame, tree: Tree, sample: np.ndarray, k: int, recall
 
     # one partial top a task: tasks * trials * (k + 1) numbers at most, merged by query
     found = (
-        index.select("v", "leaf")
-        .mapInArrow(best, "q long, s double, leaf int")
+        map_in_arrow(index.select("v", "leaf"), best, "q long, s double, leaf int")
         .groupBy("q")
         .agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "leaf")), asc=False), 1, k + 1).alias("f"))
         .collect()
