@@ -198,6 +198,34 @@ def plain_kama(c, n):
     return out
 
 
+def plain_adx(dx, n):
+    """The mean of the first n, then an n-th of each further one; and its mean with the one n - 1 bars before."""
+    out, first = [None] * len(dx), next(t for t, x in enumerate(dx) if x is not None)
+    out[first + n - 1] = sum(dx[first : first + n]) / n
+    for t in range(first + n, len(dx)):
+        out[t] = (out[t - 1] * (n - 1) + dx[t]) / n
+    rated = [(x + out[t - n + 1]) / 2 if x is not None and t >= n - 1 and out[t - n + 1] is not None else None for t, x in enumerate(out)]
+    return out, rated
+
+
+def test_trendline():
+    """What the method says of any series: constants stay, scales and levels carry over, a cycle is averaged out."""
+    import numpy as np
+
+    from modelframe.functions.hilbert import WARM_UP, trendline
+
+    r = np.random.default_rng(5)
+    price = 100 + r.standard_normal(300).cumsum()
+    line = trendline(price)
+    assert np.isnan(line[:WARM_UP]).all() and not np.isnan(line[WARM_UP:]).any()
+    assert np.allclose(trendline(np.full(120, 7.0))[WARM_UP:], 7.0)
+    assert np.allclose(trendline(price * 3)[WARM_UP:], 3 * line[WARM_UP:])
+    wave = 50 + np.sin(2 * np.pi * np.arange(400) / 20)
+    assert np.abs(trendline(wave)[200:] - 50).max() < 0.1
+    # within the values it averages, at most 50 and three bars more
+    assert all(price[t - 53 if t > 53 else 0 : t + 1].min() <= line[t] <= price[t - 53 if t > 53 else 0 : t + 1].max() for t in range(WARM_UP, 300))
+
+
 def test_folds_against_loops(spark):
     import random
 
@@ -217,8 +245,12 @@ def test_folds_against_loops(spark):
         dx=recursive.dx_of(of("plus"), of("minus")),
         moves=F.transform(recursive.differences(of("c")), lambda x: F.abs(x)),
         kama=recursive.kama_of(of("c"), of("moves"), 30),
+        adx=recursive.wilder(of("dx"), 14),
+        adxr=recursive.adxr_of(of("adx"), 14),
     )
-    rows = recursive.per_bar(out, ["g"], "i", dx="dx", kama="kama").orderBy("i").collect()
-    for name, plain in (("dx", plain_wilder_dx(h, l, c, 14)), ("kama", plain_kama(c, 30))):
+    rows = recursive.per_bar(out, ["g"], "i", dx="dx", kama="kama", adx="adx", adxr="adxr").orderBy("i").collect()
+    dx = plain_wilder_dx(h, l, c, 14)
+    adx, adxr = plain_adx(dx, 14)
+    for name, plain in (("dx", dx), ("kama", plain_kama(c, 30)), ("adx", adx), ("adxr", adxr)):
         for row, want in zip(rows, plain):
             assert (row[name] is None) == (want is None) and (want is None or abs(row[name] - want) < 1e-9)
