@@ -12,14 +12,14 @@ from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
-def _full(w: WindowSpec, n: int, value: Column, of: Column | None = None) -> Column:
+def full(w: WindowSpec, n: int, value: Column, of: Column | None = None) -> Column:
     """value where n bars (of a column without nulls) are there."""
     seen = F.count(F.lit(1) if of is None else of).over(w.rowsBetween(-(n - 1), 0))
     return F.when(seen == n, value)
 
 
 def _over(f: Callable[[Column], Column], c: Column, w: WindowSpec, n: int) -> Column:
-    return _full(w, n, f(c).over(w.rowsBetween(-(n - 1), 0)), c)
+    return full(w, n, f(c).over(w.rowsBetween(-(n - 1), 0)), c)
 
 
 def sma(c: Column, w: WindowSpec, n: int) -> Column:
@@ -64,7 +64,7 @@ def ppo(c: Column, w: WindowSpec, fast: int = 12, slow: int = 26) -> Column:
 def _bars_since(best: Column, c: Column, at: Column, w: WindowSpec, n: int) -> Column:
     """Bars since the last extreme of n + 1 bars."""
     del c
-    return _full(w, n + 1, at - best.over(w.rowsBetween(-n, 0)))
+    return full(w, n + 1, at - best.over(w.rowsBetween(-n, 0)))
 
 
 def aroon(h: Column, low: Column, at: Column, w: WindowSpec, n: int = 14) -> tuple[Column, Column]:
@@ -82,7 +82,7 @@ def cci(typical: Column, w: WindowSpec, n: int = 14) -> Column:
     frame = w.rowsBetween(-(n - 1), 0)
     mean, values = F.avg(typical).over(frame), F.collect_list(typical).over(frame)
     deviation = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / n
-    return _full(w, n, F.coalesce(F.try_divide(typical - mean, 0.015 * deviation), F.lit(0.0)))
+    return full(w, n, F.coalesce(F.try_divide(typical - mean, 0.015 * deviation), F.lit(0.0)))
 
 
 def money_flow(typical: Column, volume: Column, w: WindowSpec) -> Column:
@@ -94,7 +94,7 @@ def money_flow(typical: Column, volume: Column, w: WindowSpec) -> Column:
 def mfi(flow: Column, w: WindowSpec, n: int = 14) -> Column:
     frame = w.rowsBetween(-(n - 1), 0)
     up, every = F.sum(F.greatest(flow, F.lit(0.0))).over(frame), F.sum(F.abs(flow)).over(frame)
-    return _full(w, n, F.coalesce(100 * F.try_divide(up, every), F.lit(0.0)), flow)
+    return full(w, n, F.coalesce(100 * F.try_divide(up, every), F.lit(0.0)), flow)
 
 
 def mom(c: Column, w: WindowSpec, n: int = 10) -> Column:
@@ -140,7 +140,7 @@ def ultosc(bp: Column, tr: Column, w: WindowSpec, spans: tuple[int, int, int] =
         return F.coalesce(F.try_divide(F.sum(bp).over(frame), F.sum(tr).over(frame)), F.lit(0.0))
 
     a, b, c = map(part, spans)
-    return _full(w, max(spans), 100 * (4 * a + 2 * b + c) / 7, tr)
+    return full(w, max(spans), 100 * (4 * a + 2 * b + c) / 7, tr)
 
 
 def squeeze(width: Column, price: Column, upper: Column, lower: Column, w: WindowSpec, n: int = 180) -> Column:

@@ -19,7 +19,10 @@ class Model:
 
     fields: ClassVar[dict[str, Field]] = {}
 
-    def __init_subclass__(cls, **options: Any) -> None:
+    #: Rows of such a model are never deleted.
+    append_only: ClassVar[bool] = False
+
+    def __init_subclass__(cls, append_only: bool = False, **options: Any) -> None:
         super().__init_subclass__(**options)
         found: dict[str, Field] = {}
         for name, value in list(vars(cls).items()):
@@ -35,7 +38,7 @@ class Model:
             for p in getattr(f, "partition_by", ()):
                 if p not in found:
                     raise ModelError(f"{f.name} is partitioned by {p}, which is no field")
-        cls.fields = found
+        cls.fields, cls.append_only = found, append_only
 
     @classmethod
     def key_fields(cls) -> list[Field]:
@@ -131,3 +134,18 @@ class Model:
         given = [{n: r.get(n, f.default) for n, f in cls.fields.items()} for r in rows]
         schema = T.StructType([T.StructField(n, f.data_type) for n, f in cls.fields.items()])
         return cls.save(table, spark.createDataFrame([tuple(r.values()) for r in given], schema), publisher=publisher)
+
+    @classmethod
+    def destroy(cls, table: Any, *, publisher: Any = None, partition_by: tuple[str, ...] = (), **lookups: Any) -> int:
+        """Deletes the rows that match all lookups from a `Snapshots` table; how many. None of an append-only model."""
+        from modelframe.operators import mutate
+
+        before = table.read()
+        query = cls.on(before)
+        gone = 0 if cls.append_only else query.count(**lookups)
+        if gone:
+            after = mutate.delete_keys(before, query.filter(**lookups), cls.key_names())
+            number = table.write(after, partition_by)
+            if publisher is not None:
+                publisher.publish(mutate.change_feed(before, table.read(number), cls.key_names()))
+        return gone

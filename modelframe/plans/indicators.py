@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from modelframe.functions import hilbert
 from modelframe.functions import recursive as rec
 from modelframe.functions import windowed as win
+from modelframe.functions.custom import Indicator
 from modelframe.plans.timeseries import HOURLY, hourly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,16 +285,50 @@ folded(
     },
     ("macd", "signal", "hist"),
 )
-folded("ind_kama", None, {"moves": lambda: F.transform(rec.differences(c("c")), lambda x: F.abs(x)), "kama": lambda: rec.kama_of(c("c"), c("moves"), 30)}, ("kama",))
+
+
+def _stepped(first: str, step: str, result: str, name: str, begins: int, moves: str) -> str:
+    """SQL of a fold as a recursion over the bars' numbers k: first at bar `begins`, then a step from f to the next of moves."""
+    return (
+        f"WITH RECURSIVE bars AS (SELECT *, row_number() OVER {_OVER} AS k FROM {HOURLY}), moves AS ({moves}), "
+        f"f AS (SELECT event_type, {begins} AS k, {first} GROUP BY event_type HAVING count(*) > 0 UNION ALL "
+        f"SELECT f.event_type, f.k + 1, {step} FROM f JOIN moves m ON m.event_type = f.event_type AND m.k = f.k + 1) "
+        f"SELECT bars.event_type, bars.bucket, round({result}, {PLACES}) AS {name} FROM bars LEFT JOIN f ON f.event_type = bars.event_type AND f.k = bars.k"
+    )
+
+
+_OF_KAMA = (
+    f"SELECT event_type, k, close, coalesce(abs(close - lag(close, 30) OVER {_OVER}) / nullif(sum(abs(moved)) OVER {_frame(30)}, 0), 1) AS ratio "
+    f"FROM (SELECT *, close - lag(close) OVER {_OVER} AS moved FROM bars)"
+)
+_GAIN = "pow(m.ratio * (2.0::DOUBLE / 3 - 2.0::DOUBLE / 31) + 2.0::DOUBLE / 31, 2)"
+_KAMA = _stepped("max(close) AS y FROM moves WHERE k = 30", f"f.y + {_GAIN} * (m.close - f.y)", "CASE WHEN f.k > 30 THEN f.y END", "kama", 30, _OF_KAMA)
+_OF_DX = (
+    "SELECT event_type, k, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS n "
+    f"FROM (SELECT *, high - lag(high) OVER {_OVER} AS up, lag(low) OVER {_OVER} - low AS down FROM bars) WHERE k > 1"
+)
+_DX_OF = "coalesce(100 * abs({p} - {n}) / nullif({p} + {n}, 0), 0)"
+_NEXT = {c: f"(f.s{c} - f.s{c} / 14 + m.{c})" for c in "pn"}
+_NEW_DX = _DX_OF.format(**_NEXT)
+_SEED = "sum(p) AS sp, sum(n) AS sn"
+_DX = _stepped(f"{_SEED} FROM moves WHERE k <= 14", f"{_NEXT['p']}, {_NEXT['n']}", f"CASE WHEN f.k > 14 THEN {_DX_OF.format(p='f.sp', n='f.sn')} END", "dx", 14, _OF_DX)
+# the directional index is summed up to bar 28, where the average begins
+_AVERAGED = (
+    f"CASE WHEN f.k + 1 < 28 THEN f.a + {_NEW_DX} WHEN f.k + 1 = 28 THEN (f.a + {_NEW_DX}) / 14 ELSE (f.a * 13 + {_NEW_DX}) / 14 END"
+)
+_ADX_SQL = _stepped(f"{_SEED}, 0.0::DOUBLE AS a FROM moves WHERE k <= 14", f"{_NEXT['p']}, {_NEXT['n']}, {_AVERAGED}", "CASE WHEN f.k >= 28 THEN f.a END", "adx", 14, _OF_DX)
+_RATED = f"(CASE WHEN f.k >= 28 THEN f.a END + lag(CASE WHEN f.k >= 28 THEN f.a END, 13) OVER (PARTITION BY bars.event_type ORDER BY bars.bucket)) / 2"
+_ADXR_SQL = _ADX_SQL.replace(f"round(CASE WHEN f.k >= 28 THEN f.a END, {PLACES}) AS adx", f"round({_RATED}, {PLACES}) AS adxr")
+folded("ind_kama", _KAMA, {"moves": lambda: F.transform(rec.differences(c("c")), lambda x: F.abs(x)), "kama": lambda: rec.kama_of(c("c"), c("moves"), 30)}, ("kama",))
 _DIRECTIONAL = {
     "plus": lambda: rec.wilder_sum(rec.directional(c("h"), c("l"), c("c"))[0], 14),
     "minus": lambda: rec.wilder_sum(rec.directional(c("h"), c("l"), c("c"))[1], 14),
     "dx": lambda: rec.dx_of(c("plus"), c("minus")),
 }
-folded("ind_dx", None, _DIRECTIONAL, ("dx",))
+folded("ind_dx", _DX, _DIRECTIONAL, ("dx",))
 _ADX = _DIRECTIONAL | {"adx": lambda: rec.wilder(c("dx"), 14)}
-folded("ind_adx", None, _ADX, ("adx",))
-folded("ind_adxr", None, _ADX | {"adxr": lambda: rec.adxr_of(c("adx"), 14)}, ("adxr",))
+folded("ind_adx", _ADX_SQL, _ADX, ("adx",))
+folded("ind_adxr", _ADXR_SQL, _ADX | {"adxr": lambda: rec.adxr_of(c("adx"), 14)}, ("adxr",))
 
 
 def _rsi_bars(df: DataFrame) -> DataFrame:
@@ -325,3 +360,36 @@ register(
     f"WHEN rsi <= 30 THEN 1 ELSE 0 END AS strength FROM ({_unlist(_RSI, rsi='r')}) WHERE rsi IS NOT NULL",
     _strength,
 )
+
+
+# -- own indicators
+
+
+class RangePlace(Indicator):
+    """Where the close lies between the extremes of its last n bars; at an edge it is a signal."""
+
+    name, periods = "range_place", (14, 50)
+
+    def value(self, w, n):
+        low, high = (f("close").over(w.rowsBetween(-(n - 1), 0)) for f in (F.min, F.max))
+        return win.full(w, n, F.try_divide(C() - low, high - low))
+
+    def trend(self, value, n):
+        return F.when(value >= 0.95, "bullish").when(value <= 0.05, "bearish")
+
+
+_PLACE = {n: _full(n, f"round((close - min(close) OVER {_frame(n)}) / nullif(max(close) OVER {_frame(n)} - min(close) OVER {_frame(n)}, 0), {PLACES})") for n in RangePlace.periods}
+register(
+    "ind_custom",
+    " UNION ALL ".join(f"SELECT * FROM (SELECT event_type, bucket, {n} AS periods, {x} AS value FROM {HOURLY}) WHERE value IS NOT NULL" for n, x in _PLACE.items()),
+    lambda df: RangePlace().computed(df, ["event_type"], "bucket", places=PLACES),
+)
+register(
+    "sig_custom",
+    " UNION ALL ".join(
+        f"SELECT event_type, bucket, periods, value, CASE WHEN value >= 0.95 THEN 'bullish' ELSE 'bearish' END AS trend FROM "
+        f"(SELECT event_type, bucket, {n} AS periods, {x} AS value FROM {HOURLY}) WHERE value >= 0.95 OR value <= 0.05"
+        for n, x in _PLACE.items()
+    ),
+    lambda df: RangePlace().signals(df, ["event_type"], "bucket", places=PLACES),
+)

@@ -496,6 +496,20 @@ def save_upsert(spark, d):
     return _saved(spark, d).read().select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+@query(f"SELECT * FROM ({_SAVED}) WHERE NOT (o_orderstatus = 'O' AND o_totalprice < 150000)")
+def destroy(spark, d):
+    """Saved rows without those that lookups find; a second model over the same rows lets nothing be deleted."""
+
+    class History(Saved, append_only=True):
+        o_orderkey = UniqueKeyField(type=int)
+        o_orderstatus = KeyField()
+
+    table = _saved(spark, d)
+    Saved.destroy(table, o_orderstatus="O", o_totalprice__lt=150000, partition_by=("o_orderstatus",))
+    History.destroy(table, o_orderstatus="F")
+    return table.read().select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @query(f"SELECT * FROM ({_SAVED}) WHERE o_orderstatus = 'F' AND o_totalprice >= 100000")
 def partitioned_scan(spark, d):
     """A range in one partition of a table whose layout has directories by partition."""

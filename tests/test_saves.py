@@ -200,3 +200,40 @@ def test_shared_folder_is_asked_for(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(Session)
+
+
+def test_partitioned_layout_is_pruned(spark):
+    """A lookup with the partition's value reads that directory's files and no others, and pushes the range down."""
+    from modelframe.plans.records import Saved
+    from modelframe.sources.tables import write_sorted
+
+    path = f"{shared_folder(spark)}/sorted-{uuid.uuid4().hex}"
+    rows = spark.range(3000).select(F.col("id").alias("o_orderkey"), F.element_at(F.array(*map(F.lit, "FOP")), (F.col("id") % 3 + 1).cast("int")).alias("o_orderstatus"), (F.col("id") * 1.0).alias("o_totalprice"))
+    write_sorted(Saved, rows, path)
+    q = Saved.on(spark.read.parquet(path))
+    found = q.filter(o_orderstatus="F", o_totalprice__gte=1500)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(o_orderstatus" in plan and "GreaterThanOrEqual(o_totalprice,1500.0)" in plan
+    scan = next(line for line in found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if "PartitionFilters" in line)
+    assert "= F" in scan and found.count() == 500
+
+
+def test_destroy_and_append_only(spark):
+    class Kept(Model, append_only=True):
+        k = f.UniqueKeyField(type=int)
+
+    class Gone(Model):
+        k = f.UniqueKeyField(type=int)
+
+    table = fresh(spark)
+    Gone.create(table, spark, *({"k": i} for i in range(4)))
+    assert Kept.destroy(table, k=1) == 0 and Gone.destroy(table, k__in=[1, 2]) == 2 and Gone.destroy(table, k=9) == 0
+    assert sorted(r["k"] for r in table.read().collect()) == [0, 3] and table._versions() == [1, 2]
+
+
+def test_session(spark):
+    from modelframe.session import info, session
+
+    assert session(spark__sql__shuffle__partitions="4") is not None
+    named = {r["name"]: r["value"] for r in info(spark).collect()}
+    assert named["spark.sql.adaptive.enabled"] == "true" and named["spark.sql.shuffle.partitions"] == "4" and named["master"].startswith("local")
