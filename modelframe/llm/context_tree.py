@@ -7,13 +7,15 @@ of its children's weighted probabilities, at every depth, and a decision is pred
 its context with the weights that follow; where a deeper context was never met in training, its parent speaks.
 
 Counts come from all training texts. Texts are dealt to blocks; each block lists its distinct (context, byte) keys
-and words once, these are summed over blocks in a shuffle, trees are weighted in groups of one two-byte context (no
-task holds all), and every block gets back just the keys it has. Only the top of the trees, contexts of at most one
-byte (65,000 numbers whatever the input), reaches the driver and is sent out with the code.
+and words once, these are summed over blocks in a shuffle, and every block gets back just the keys it has, by a join.
+Trees are weighted in groups of whole three-byte contexts: a group holds about GROUP keys, a single context at most
+256 ** (depth - 2). What they say of contexts of at most TOP bytes, a few MB for text and bounded by the alphabet (2 ** 24 counts),
+is summed up in Spark, weighted on the driver and sent out with the code that then predicts the groups' keys.
 
 Edge cases: a null text is empty, one end token; words met only in held-out texts count 0; with no training text all
 estimates are one half; a null doc_id counts as remainder 0; repeated rows count each; very long texts are scored
-whole; an empty table gives no rows; extra columns are ignored. Words are told apart by 62 bits of XXH64.
+whole; an empty table gives no rows; extra columns are ignored. Words are told apart by 62 bits of XXH64. Blocks get
+the logs of single bytes in single precision (an error of 6e-8 of a score at most); sums are in double precision.
 """
 
 from __future__ import annotations
@@ -22,15 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelframe.llm.common import Stored, distinct_chunks, portions, spread
+from modelframe.llm.common import Stored, distinct_chunks, map_in_arrow, portions, small_batches, spread, trimmed
 from modelframe.llm.langid import remainder
 
 #: Bytes of context, bytes of text in a block and of a block at a time.
-DEPTH, BLOCK, PORTION = 5, 32 << 20, 3 << 20
+DEPTH, BLOCK, PORTION = 5, 48 << 20, 1 << 20
+#: Bytes of the contexts that are weighted on the driver, keys of a group of deeper ones, rows of a batch sent back.
+TOP, GROUP, ROWS = 2, 50_000, 100_000
 _END = 0x0A
 #: Keys of words lie above those of contexts, which take 8 * (DEPTH + 1) bits.
 _WORD = 1 << 62
@@ -88,13 +94,20 @@ class Layer:
         return np.where(self.bits[level], one[at], 1 - one[at]), total[at] > 0
 
 
-def weighted(layers: list[Layer], maps: list[np.ndarray]) -> tuple[list[list[np.ndarray]], list[np.ndarray]]:
+def weighted(
+    layers: list[Layer], maps: list[np.ndarray], kids: list[np.ndarray] | None = None
+) -> tuple[list[list[np.ndarray]], list[np.ndarray]]:
     """Weights of stopping at each node by layer and level, and the top layer's log weighted probabilities.
 
-    layers go from the deepest up; maps[d] takes the pairs of layer d to those of layer d + 1.
+    layers go from the deepest up; maps[d] takes the pairs of layer d to those of layer d + 1. kids: of the first
+    layer's nodes, the sums of the log weighted probabilities below them, if there are layers below.
     """
     below = [log_kt(z, o) for z, o in zip(layers[0].zeros, layers[0].ones)]
     stops = [[np.ones(len(b)) for b in below]]
+    if kids is not None:
+        alone = [_LOG_HALF + b for b in below]
+        below = [np.logaddexp(a, _LOG_HALF + k) for a, k in zip(alone, kids)]
+        stops = [[np.exp(a - b) for a, b in zip(alone, below)]]
     for lower, upper, to in zip(layers, layers[1:], maps):
         own, mixed = [], []
         for level in range(8):
@@ -200,15 +213,34 @@ class Lookup:
         return out
 
 
-def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, at = np.unique(keys, return_inverse=True)
-    return own, np.bincount(at, weights=n, minlength=len(own)).astype(np.int64)
+class _Counts:
+    """Distinct keys and their counts, gathered part by part; parts are merged once as many wait as are held."""
 
+    def __init__(self) -> None:
+        self.keys, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
-def _block_keys(texts: pa.Array, taught: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.waiting += len(keys)
+        if self.waiting > max(1 << 18, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.parts)])
+        n = np.concatenate([self.n, *(n for _, n in self.parts)])
+        self.parts, self.waiting = [], 0
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        self.keys, self.n = keys[first], np.add.reduceat(n, first) if len(keys) else n
+
+
+def _block_keys(texts: pa.Array, taught: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(keys, training count) of the distinct contexts with their byte, and of the distinct words, of some texts."""
     raw, lower = text_bytes(texts)
-    keys, begins = byte_keys(raw)
+    keys, begins = byte_keys(raw, depth)
     in_training = np.repeat(taught.astype(np.uint64), np.diff(np.append(begins, len(keys))))
     # one sort finds the distinct keys and counts those in training, whose lowest bit is set
     both = np.sort((keys << np.uint64(1)) | in_training)
@@ -223,38 +255,36 @@ def _block_keys(texts: pa.Array, taught: np.ndarray) -> list[tuple[np.ndarray, n
     ]
 
 
-def _deal(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
+def _deal(docs: DataFrame, modulus: int, held_out: int, size: int) -> DataFrame:
     """Stored rows (block, doc_id, held_out, text); a block is a run of rows of bounded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.Generator(np.random.PCG64())  # what is stored stands, whatever a task tried again would draw
-        for batch in (p for b in batches for p in portions(b, most=BLOCK)):
-            block = pa.array(np.full(len(batch), rng.integers(0, 1 << 62)))
-            yield pa.RecordBatch.from_arrays([block, *batch.columns], ["block", "doc_id", "held_out", "text"])
+        block, full = TaskContext.get().partitionId() << 32, 0
+        for batch in (p for b in batches for p in portions(b, most=PORTION)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), block)), *batch.columns], ["block", "doc_id", "held_out", "text"])
+            full += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            if full >= size:
+                block, full = block + 1, 0
 
     held = (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out")
-    return Stored(
-        docs.select(F.col("doc_id").cast("long"), held, "text").mapInArrow(
-            run, "block long, doc_id long, held_out boolean, text string"
-        ),
-        compression="zstd",
-    ).df
+    given = docs.select(F.col("doc_id").cast("long"), held, "text")
+    return Stored(map_in_arrow(given, run, "block long, doc_id long, held_out boolean, text string"), compression="zstd").df
 
 
-def _listed(rows: DataFrame) -> DataFrame:
+def _listed(rows: DataFrame, depth: int) -> DataFrame:
     """Rows (block, key, n): the distinct keys of each block and their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, [[], []]
+        now, held = None, [_Counts(), _Counts()]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for part in held:
-                if part:
-                    keys, n = _counted(np.concatenate([k for k, _ in part]), np.concatenate([c for _, c in part]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), now)), pa.array(keys), pa.array(n)], ["block", "key", "n"]
-                    )
-                part.clear()
+            for kind, own in enumerate(held):
+                own.merge()
+                held[kind] = _Counts()
+                for at in range(0, len(own.keys), ROWS):
+                    keys, n = own.keys[at : at + ROWS], own.n[at : at + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now)), pa.array(keys), pa.array(n)], ["block", "key", "n"])
+            trimmed()
 
         for batch in (p for b in batches for p in portions(b, most=PORTION)):
             blocks = batch.column("block").to_numpy()
@@ -265,116 +295,141 @@ def _listed(rows: DataFrame) -> DataFrame:
                 now = int(blocks[a])
                 part = batch.slice(a, b - a)
                 taught = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-                for kind, found in enumerate(_block_keys(part.column("text"), taught)):
-                    held[kind].append(found)
+                for kind, found in enumerate(_block_keys(part.column("text"), taught, depth)):
+                    held[kind].add(*found)
         if now is not None:
             yield from flush()
 
-    return rows.select("block", "held_out", "text").mapInArrow(run, "block long, key long, n long")
+    return map_in_arrow(rows.select("block", "held_out", "text"), run, "block long, key long, n long")
+
+
+def _grouped(keys: DataFrame, size: int = GROUP):
+    """Keys (key, n) in groups of whole three-byte contexts."""
+    groups = max(1, -(-keys.count() // size))
+    context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))
+    return keys.withColumn("group", F.pmod(F.xxhash64(context), F.lit(groups))).groupBy("group")
 
 
-def _weigh(keys: DataFrame) -> DataFrame:
-    """Stored rows of each two-byte context's trees: (key, p, null) and, for contexts of one byte, (node, null, log)."""
+def _of_group(group: pa.Table, depth: int) -> tuple[list[Layer], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Layers from the deepest to that of TOP + 1 bytes, their maps, and the keys in the layers' order."""
+    keys = group.column("key").to_numpy().view(np.uint64)
+    layers, maps, order = _layers(keys, group.column("n").to_numpy(), list(range(depth, TOP, -1)))
+    return layers, maps, keys[order]
+
+
+def _above(groups, depth: int) -> DataFrame:
+    """Rows (node, log): of contexts of TOP bytes and decisions so far, the sum of the logs of the contexts above them."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys = group.column("key").to_numpy().view(np.uint64)
-        layers, maps, order = _layers(keys, group.column("n").to_numpy(), list(range(DEPTH, 1, -1)))
-        stops, top = weighted(layers, maps)
-        p = predictions(layers, maps, stops)
-        # one-byte context and decision so far -> sum of the logs of the two-byte contexts above it
-        node = np.concatenate([(q >> np.uint64(level)) & np.uint64(0xFF) for level, q in enumerate(layers[-1].prefix)])
-        path = np.concatenate([(q & np.uint64((1 << level) - 1)) | np.uint64(1 << level) for level, q in enumerate(layers[-1].prefix)])
-        nodes, at = np.unique((node << np.uint64(8)) | path, return_inverse=True)
+        layers, maps, _ = _of_group(group, depth)
+        _, top = weighted(layers, maps)
+        below = np.uint64((1 << (8 * TOP)) - 1)
+        node = [
+            (((q >> np.uint64(level)) & below) << np.uint64(8)) | (q & np.uint64((1 << level) - 1)) | np.uint64(1 << level)
+            for level, q in enumerate(layers[-1].prefix)
+        ]
+        nodes, at = np.unique(np.concatenate(node), return_inverse=True)
         logs = np.bincount(at, weights=np.concatenate(top), minlength=len(nodes))
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(p.reshape(-1), from_pandas=False), 8).cast(pa.list_(pa.float64()))
-        return pa.concat_tables(
-            [
-                pa.table({"key": keys[order].view(np.int64), "p": flat, "log": pa.nulls(len(keys), pa.float64())}),
-                pa.table({"key": nodes.view(np.int64), "p": pa.nulls(len(nodes), pa.list_(pa.float64())), "log": logs}),
-            ]
-        )
+        return pa.table({"node": nodes.view(np.int64), "log": logs})
+
+    return groups.applyInArrow(run, "node long, log double").groupBy("node").agg(F.sum("log").alias("log"))
+
+
+class Top:
+    """The trees' nodes of contexts of at most TOP bytes that training met."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, nodes: np.ndarray, logs: np.ndarray):
+        """pairs: (context, byte) with their counts; nodes and logs as `_above` gives them."""
+        layers, maps, _ = _layers(pairs.astype(np.uint64), n, list(range(TOP, -1, -1)))
+        order = np.argsort(nodes)
+        nodes, logs, kids = nodes[order], logs[order], []
+        for level, q in enumerate(layers[0].prefix):
+            own = ((q >> np.uint64(level)) << np.uint64(8)) | (q & np.uint64((1 << level) - 1)) | np.uint64(1 << level)
+            at = np.minimum(np.searchsorted(nodes, own), max(0, len(nodes) - 1))
+            kids.append(np.where(nodes[at] == own, logs[at], 0.0) if len(nodes) else np.zeros(len(own)))
+        stops, _ = weighted(layers, maps, kids)
+        #: By bytes of context and level: nodes, probability of a one, weight of stopping.
+        self.nodes = [
+            [(layer.prefix[k], (layer.ones[k] + 0.5) / (layer.ones[k] + layer.zeros[k] + 1), stops[d][k]) for k in range(8)]
+            for d, layer in enumerate(layers)
+        ]
+
+    def mixed(self, keys: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """log10 of each key's byte; p: (keys, 8) what deeper contexts predict, NaN where they met nothing."""
+        pairs, to = np.unique(keys & np.uint64((1 << (8 * (TOP + 1))) - 1), return_inverse=True)
+        out = np.zeros(len(keys))
+        for level in range(8):
+            # deeper d becomes base + part * d, and alone where there is none
+            base, part, alone = np.zeros(len(pairs)), np.ones(len(pairs)), np.full(len(pairs), np.nan)
+            one = ((pairs >> np.uint64(7 - level)) & np.uint64(1)).astype(bool)
+            for d, layer in enumerate(self.nodes):
+                prefix, kt, stop = layer[level]
+                if not len(prefix):
+                    continue
+                own = (pairs & np.uint64((1 << (8 * (TOP - d + 1))) - 1)) >> np.uint64(8 - level)
+                at = np.minimum(np.searchsorted(prefix, own), len(prefix) - 1)
+                met, k, w = prefix[at] == own, np.where(one, kt[at], 1 - kt[at]), stop[at]
+                base, part = np.where(met, w * k + (1 - w) * base, base), np.where(met, (1 - w) * part, part)
+                alone = np.where(met, np.where(np.isnan(alone), k, w * k + (1 - w) * alone), alone)
+            alone = np.where(np.isnan(alone), 0.5, alone)
+            out += np.log10(np.where(np.isnan(p[:, level]), alone[to], base[to] + part[to] * p[:, level]))
+        return out
 
-    return Stored(
-        keys.withColumn("context", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
-        .groupBy("context")
-        .applyInArrow(run, "key long, p array<double>, log double")
-    ).df
-
-
-def _top(keys: DataFrame, weighed: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Weights and estimates of contexts of no and of one byte, by decision: 256 and 256 x 256 numbers each."""
-    pairs = keys.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toPandas()
-    logs = weighed.where("log IS NOT NULL").groupBy("key").agg(F.sum("log").alias("log")).toPandas()
-    counts = np.zeros((256, 256), np.int64)
-    pair, node = pairs["pair"].to_numpy(np.int64), logs["key"].to_numpy(np.int64)
-    counts[pair >> 8, pair & 255] = pairs["n"].to_numpy()
-    kids = np.zeros((256, 256))
-    kids[node >> 8, node & 255] = logs["log"].to_numpy()
-    # heap order: decision 1 splits on the first bit, and node u has children 2u and 2u + 1
-    total = np.zeros((256, 512), np.int64)
-    total[:, 256:] = counts
-    for u in range(255, 0, -1):
-        total[:, u] = total[:, 2 * u] + total[:, 2 * u + 1]
-    zeros, ones = total[:, 0:512:2], total[:, 1:512:2]
-    stop1 = _LOG_HALF + log_kt(zeros, ones)
-    log1 = np.logaddexp(stop1, _LOG_HALF + kids)
-    stop0 = _LOG_HALF + log_kt(zeros.sum(axis=0), ones.sum(axis=0))
-    log0 = np.logaddexp(stop0, _LOG_HALF + log1.sum(axis=0))
-    of_one = lambda z, o: (o + 0.5) / (z + o + 1)
-    met = (zeros + ones) > 0
-    return np.exp(stop0 - log0), of_one(zeros.sum(axis=0), ones.sum(axis=0)), np.exp(stop1 - log1), np.where(met, of_one(zeros, ones), np.nan)
-
-
-def _code_logs(weighed: DataFrame, top: tuple[np.ndarray, ...]) -> DataFrame:
-    """Rows (key, lp): log10 of the byte's probability in its context."""
-    w0, one0, w1, one1 = top
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, 8)
-            byte, before = keys & 255, (keys >> 8) & 255
-            lp = np.zeros(len(keys))
-            for level in range(8):
-                u = (byte | 256) >> (8 - level)
-                bit = (byte >> (7 - level)) & 1
-                pick = lambda one: np.where(bit == 1, one, 1 - one)  # noqa: B023, E731
-                k0, k1, deeper = pick(one0[u]), pick(one1[before, u]), p[:, level]
-                mixed = np.where(np.isnan(deeper), k1, w1[before, u] * k1 + (1 - w1[before, u]) * deeper)
-                lp += np.log10(np.where(np.isnan(k1), k0, w0[u] * k0 + (1 - w0[u]) * mixed))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(lp)], ["key", "lp"])
-
-    return weighed.where("p IS NOT NULL").select("key", "p").mapInArrow(run, "key long, lp double")
-
-
-def scored(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
-    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)."""
-    rows = _deal(docs, modulus, held_out)
-    keys = Stored(_listed(rows).groupBy("key").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks"))).df
+def _top(keys: DataFrame, above: DataFrame) -> Top:
+    pair = F.col("key").bitwiseAND(F.lit((1 << (8 * (TOP + 1))) - 1)).alias("pair")
+    pairs = keys.where("n > 0").groupBy(pair).agg(F.sum("n").alias("n")).toPandas()
+    nodes = above.toPandas()
+    return Top(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(), nodes["node"].to_numpy(np.uint64), nodes["log"].to_numpy(np.float64))
+
+
+def _predicted(groups, top: Top, depth: int) -> DataFrame:
+    """Rows (key, value): the bits of log10 of the byte's probability in its context, in single precision."""
+
+    def run(group: pa.Table) -> pa.Table:
+        layers, maps, keys = _of_group(group, depth)
+        stops, _ = weighted(layers, maps)
+        logs = top.mixed(keys, predictions(layers, maps, stops))
+        return pa.table({"key": keys.view(np.int64), "value": logs.astype(np.float32).view(np.uint32).astype(np.int64)})
+
+    return groups.applyInArrow(run, "key long, value long")
+
+
+def scored(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte).
+
+    depth: bytes of context, 3 to 6; deeper trees predict better and have several times the keys.
+    """
+    if not TOP < depth <= 6:
+        raise ValueError(f"depth must be {TOP + 1} to 6")
+    small_batches(docs.sparkSession)
+    rows = _deal(docs, modulus, held_out, block)
+    listed = Stored(_listed(rows, depth), compression="zstd").df
+    keys = Stored(listed.groupBy("key").agg(F.sum("n").alias("n")), compression="zstd").df
     bytes_of, words_of = keys.where(F.col("key") < _WORD), keys.where(F.col("key") >= _WORD)
-    weighed = _weigh(bytes_of.select("key", "n"))
-    logs = _code_logs(weighed, _top(bytes_of.select("key", "n"), weighed))
+    groups = _grouped(bytes_of)
+    logs = _predicted(groups, _top(bytes_of, _above(groups, depth)), depth)
     total = words_of.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     every, distinct = int(total["n"]), int(total["v"])
-    values = (
-        bytes_of.join(logs, "key")
-        .select(F.explode("blocks").alias("block"), "key", F.lit(None).cast("long").alias("n"), "lp")
-        .unionByName(words_of.select(F.explode("blocks").alias("block"), "key", "n", F.lit(None).cast("double").alias("lp")))
-    )
+    # value: of contexts the log's bits, of words the count
+    known_of = logs.unionByName(words_of.select("key", F.col("n").alias("value")))
+    values = listed.select("block", "key").join(known_of, "key").select("block", "key", "value")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        keys, n, lp = (known.column(c).to_numpy() for c in ("key", "n", "lp"))
+        keys, value = (known.column(c).to_numpy() for c in ("key", "value"))
+        del known
         order = np.argsort(keys)
-        keys, n, lp = keys[order], n[order], lp[order]
+        keys, value = keys[order], value[order]
         split = int(np.searchsorted(keys, _WORD))
-        byte_at, byte_lp, word_at, word_n = keys[:split].view(np.uint64), lp[:split], keys[split:], np.nan_to_num(n[split:]).astype(np.int64)
+        byte_at, byte_lp = keys[:split].view(np.uint64), value[:split].astype(np.uint32).view(np.float32)
+        word_at, word_n = keys[split:], value[split:]
         word_log = np.log10((word_n + 0.5) / (every + 0.5 * (distinct + 1)))
         end, there = int(np.searchsorted(word_at, _END_KEY)), Lookup(byte_at)
         out = []
         for batch in (p for b in texts.to_batches() for p in portions(b, most=PORTION)):
             raw, lower = text_bytes(batch.column("text"))
-            own, begins = byte_keys(raw)
-            sums = np.add.reduceat(byte_lp[there.find(own)], begins)
+            own, begins = byte_keys(raw, depth)
+            sums = np.add.reduceat(byte_lp[there.find(own)].astype(np.float64), begins)
             words, numbers, ends = word_keys(lower)
             at = np.searchsorted(word_at, words)
             n_words = np.diff(ends)
@@ -397,6 +452,7 @@ def scored(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
                     }
                 )
             )
+        trimmed()
         return pa.concat_tables(out)
 
     return (
