@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from modelframe.llm.common import Stored, map_in_arrow
 
-#: Vectors the tree is fitted on at most, children of a node, sample vectors a leaf has at most.
-SAMPLE, BRANCH, LEAF = 20_000, 8, 256
+#: Vectors the tree's top is fitted on at most and the bytes they may take, children of a node, sample vectors a leaf has at most.
+SAMPLE, BYTES, BRANCH, LEAF = 20_000, 64 << 20, 8, 256
 #: Rows that a leaf should hold at most, rows a leaf's own tree is fitted on, leaves that the whole tree has at most.
 ROWS, FITTED, MOST = 4096, 20_000, 200_000
 #: Sample queries for calibration, recall asked of them.
@@ -177,6 +177,7 @@ def _refined(tree: Tree, distinct: DataFrame, rows_a_leaf: int = ROWS, fitted: i
         found = [[int(key[0].as_py())] * len(own.kids), list(range(len(own.kids))), own.kids, own.centre_of.tolist()]
         return pa.table(dict(zip(("leaf", "node", "kids", "centre"), (pa.array(found[0], pa.int32()), pa.array(found[1], pa.int32()), pa.array(found[2], pa.list_(pa.int32())), pa.array(found[3], pa.list_(pa.float64()))))))
 
+    fitted = min(fitted, BYTES // (8 * tree.centre_of.shape[1]))
     while tree.leaves() < most:
         index = map_in_arrow(distinct.select("v"), placed, f"v {kind}, leaf int")
         held = index.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * rows_a_leaf)
@@ -203,9 +204,9 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
     schema = "query_id long, rank int, vec_id long, score double"
     # of equal vectors the first k + 1 ids can matter to a query; all queries keep their ids
     distinct = Stored(_first_ids(rows, k + 1)).df
-    sample = np.array(
-        [r["v"] for r in distinct.orderBy(F.xxhash64("v"), "v").select("v").limit(SAMPLE).collect()], np.float64
-    )
+    first = distinct.select(F.size("v").alias("n")).first()
+    taken = min(SAMPLE, BYTES // (8 * first["n"])) if first else 0
+    sample = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("v"), "v").select("v").limit(taken).collect()], np.float64)
     if not len(sample):
         return embeddings.sparkSession.createDataFrame([], schema)
     tree = _refined(Tree(sample), distinct, rows_a_leaf)
