@@ -277,7 +277,7 @@ def test_personal_data(docs, none):
     some = [t for _, t in texts(docs) if len(t) < 4000][:25] + [text, ""]
     assert pd_.Finder(tagger).spans(some) == pd_.Finder(tagger, all_windows=True).spans(some)
     # and the tagger finds again what teaches it
-    x, y = pd_.lessons(["the mail of foo@bar.com is it " * 6] * 40)
+    x, y = pd_.lessons([w for k in range(120) for w in pd_.teaching_windows("the mail of foo@bar.com is it " * 6, k)], variants=0)
     fitted = pd_.Tagger().fit(x, y)
     assert (fitted.decode(x) == y).mean() > 0.9
     loss, grads = pd_.Tagger().gradients(x[:3], y[:3])
