@@ -250,7 +250,8 @@ def _counted(root: Node) -> Iterator[Node]:
 
 def _build(node: Node) -> bytes:
     """The element's tag and the names its class and id give, without numbers."""
-    names = sorted({re.sub("[0-9]+", "", t) for m in _ATTRIBUTE.finditer(node.attributes) if m[1].lower() in ("class", "id") for t in (m[2] or m[3] or m[4] or "").split()})
+    values = [m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(node.attributes) if m[1].lower() in ("class", "id")]
+    names = sorted({re.sub("[0-9]+", "", t) for v in values for t in v.split()})
     return f"{node.tag} {' '.join(names)}".encode("utf-8", "replace")
 
 

@@ -350,7 +350,8 @@ def trained(docs: DataFrame, teachers: int = TEACHERS, windows: int = WINDOWS, m
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in portions(b)):
-            found = [(h, w, spans) for t, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist()) for w, spans in teaching_windows(t, h & 0xFFFFFFFF, windows)]
+            given = zip(batch.column("text").to_pylist(), batch.column("h").to_pylist())
+            found = [(h, w, spans) for t, h in given for w, spans in teaching_windows(t, h & 0xFFFFFFFF, windows)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([h for h, _, _ in found], pa.int64()),
@@ -400,7 +401,7 @@ class Finder:
         starts = _starts(size)
         # windows that stay outside throughout count too where they reach into others
         near = {k for a in decoded for at in (len(starts) - 1 if a == starts[-1] else a // STRIDE,) for k in range(at - 2, at + 3)}
-        for k in sorted(near & set(range(len(starts))) if len(near) > len(starts) else {k for k in near if 0 <= k < len(starts)}):
+        for k in sorted(k for k in near if 0 <= k < len(starts)):
             a = starts[k]
             end = min(a + WINDOW, size)
             i = np.arange(a, end)

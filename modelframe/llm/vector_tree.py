@@ -174,8 +174,14 @@ def _refined(tree: Tree, distinct: DataFrame, rows_a_leaf: int = ROWS, fitted: i
         x = _vectors(rows.column("v").combine_chunks())
         # as many rows of the sample to a leaf as stand for rows_a_leaf of the table
         own = Tree(x, leaf=max(4, int(len(x) * rows_a_leaf / rows.column("n")[0].as_py())))
-        found = [[int(key[0].as_py())] * len(own.kids), list(range(len(own.kids))), own.kids, own.centre_of.tolist()]
-        return pa.table(dict(zip(("leaf", "node", "kids", "centre"), (pa.array(found[0], pa.int32()), pa.array(found[1], pa.int32()), pa.array(found[2], pa.list_(pa.int32())), pa.array(found[3], pa.list_(pa.float64()))))))
+        return pa.table(
+            {
+                "leaf": pa.array([key[0].as_py()] * len(own.kids), pa.int32()),
+                "node": pa.array(range(len(own.kids)), pa.int32()),
+                "kids": pa.array(own.kids, pa.list_(pa.int32())),
+                "centre": pa.array(own.centre_of.tolist(), pa.list_(pa.float64())),
+            }
+        )
 
     fitted = min(fitted, BYTES // (8 * tree.centre_of.shape[1]))
     while tree.leaves() < most:
@@ -186,7 +192,8 @@ def _refined(tree: Tree, distinct: DataFrame, rows_a_leaf: int = ROWS, fitted: i
             break
         counts = distinct.sparkSession.createDataFrame([(leaf, n) for n, leaf in large], "leaf int, n long")
         whole = 1 << 30
-        some = index.join(F.broadcast(counts), "leaf").where(F.pmod(F.xxhash64("v", F.lit(tree.leaves())), F.lit(whole)) < F.lit(float(fitted * whole)) / F.col("n"))
+        dealt = F.pmod(F.xxhash64("v", F.lit(tree.leaves())), F.lit(whole))
+        some = index.join(F.broadcast(counts), "leaf").where(dealt < F.lit(float(fitted * whole)) / F.col("n"))
         grown: dict[int, dict[int, tuple[list[int], list[float]]]] = {}
         for r in some.groupBy("leaf").applyInArrow(fit, "leaf int, node int, kids array<int>, centre array<double>").collect():
             grown.setdefault(r["leaf"], {})[r["node"]] = (r["kids"], r["centre"])
