@@ -255,20 +255,33 @@ def _block_keys(texts: pa.Array, taught: np.ndarray, depth: int) -> list[tuple[n
     ]
 
 
+def _sealed(batch: pa.RecordBatch) -> bytes:
+    """The batch as compressed bytes, which stay so in tables and shuffles."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _opened(sealed: pa.Array | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for one in sealed:
+        yield from pa.ipc.open_stream(one.as_buffer())
+
+
 def _deal(docs: DataFrame, modulus: int, held_out: int, size: int) -> DataFrame:
-    """Stored rows (block, doc_id, held_out, text); a block is a run of rows of bounded bytes."""
+    """Stored rows (block, texts): portions of (doc_id, held_out, text), sealed; a block is a run of them of bounded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, full = TaskContext.get().partitionId() << 32, 0
         for batch in (p for b in batches for p in portions(b, most=PORTION)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), block)), *batch.columns], ["block", "doc_id", "held_out", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_sealed(batch)], pa.binary())], ["block", "texts"])
             full += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
             if full >= size:
                 block, full = block + 1, 0
 
     held = (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out")
     given = docs.select(F.col("doc_id").cast("long"), held, "text")
-    return Stored(map_in_arrow(given, run, "block long, doc_id long, held_out boolean, text string"), compression="zstd").df
+    return Stored(map_in_arrow(given, run, "block long, texts binary")).df
 
 
 def _listed(rows: DataFrame, depth: int) -> DataFrame:
@@ -286,21 +299,18 @@ def _listed(rows: DataFrame, depth: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now)), pa.array(keys), pa.array(n)], ["block", "key", "n"])
             trimmed()
 
-        for batch in (p for b in batches for p in portions(b, most=PORTION)):
-            blocks = batch.column("block").to_numpy()
-            edges = np.flatnonzero(np.diff(blocks)) + 1
-            for a, b in zip([0, *edges], [*edges, len(blocks)]):
-                if now is not None and blocks[a] != now:
+        for batch in batches:
+            for block, part in zip(batch.column("block").to_pylist(), _opened(batch.column("texts"))):
+                if now is not None and block != now:
                     yield from flush()
-                now = int(blocks[a])
-                part = batch.slice(a, b - a)
+                now = block
                 taught = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 for kind, found in enumerate(_block_keys(part.column("text"), taught, depth)):
                     held[kind].add(*found)
         if now is not None:
             yield from flush()
 
-    return map_in_arrow(rows.select("block", "held_out", "text"), run, "block long, key long, n long")
+    return map_in_arrow(rows.select("block", "texts"), run, "block long, key long, n long")
 
 
 def _grouped(keys: DataFrame, size: int = GROUP):
@@ -426,7 +436,7 @@ def scored(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DE
         word_log = np.log10((word_n + 0.5) / (every + 0.5 * (distinct + 1)))
         end, there = int(np.searchsorted(word_at, _END_KEY)), Lookup(byte_at)
         out = []
-        for batch in (p for b in texts.to_batches() for p in portions(b, most=PORTION)):
+        for batch in _opened(texts.column("texts")):
             raw, lower = text_bytes(batch.column("text"))
             own, begins = byte_keys(raw, depth)
             sums = np.add.reduceat(byte_lp[there.find(own)].astype(np.float64), begins)
