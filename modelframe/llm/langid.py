@@ -28,7 +28,7 @@ NGRAM, PROFILE, TAKEN = 3, 400, 300
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Codes gathered before they are counted, in training.
-_GATHER = 1 << 22
+_GATHER = 1 << 20
 
 
 @lru_cache(maxsize=1)
