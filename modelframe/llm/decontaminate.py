@@ -180,7 +180,7 @@ def regions(docs: DataFrame, of_tests: bytes, short_items: bool, bits: int = BIT
             _, b = _places(h[hit], bits)
             return hit[(flat[b >> np.uint64(3)] >> (np.uint8(7) - (b & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
 
-        for batch in (p for b in batches for p in portions(b)):
+        for batch in (p for b in batches for p in portions(b, most=2 << 20)):
             rows = []
             texts = tokens(batch.column("text"))
             begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
