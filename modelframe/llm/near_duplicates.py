@@ -3,10 +3,10 @@
 Candidates come from SimHash ball hashing and, since two bits of 64 reach only a few of the pairs at a similarity of
 0.8, from bands of min-wise hashes as well (README has the figures). A band's documents are first each paired with the
 band's first and last one; every pair is verified on the whole sets of shingles, and verified links make groups by
-connected components. Where a band's other documents then still belong to several groups, those outside its largest
-group meet all of them in tiles of bounded size: their min-wise hashes are compared there, and only pairs of different
-groups that may be near leave the task, to be verified like the first: each document's best of each other group, then,
-among what these links left in different groups, all. The row with the smallest doc_id of a group stays.
+connected components. Where a band's other documents then still belong to several groups, they meet with their whole
+texts in tiles of bounded size, are verified there, and only links that join two groups leave the task, fewer than the
+tile has groups: first each document in one tile of its band, then, where a band fills several tiles, those outside
+its largest group in tiles with all others. The row with the smallest doc_id of a group stays.
 
 Texts of equal words are one document from the start (told apart by 64 bits of XXH64), so large groups of copies cost
 no pairs. Edge cases: null, empty and blank texts have no words and are copies of each other; a text of fewer than
@@ -32,10 +32,8 @@ from modelframe.llm.simhash import fingerprint, links, shingle_hashes
 WIDTH, SIMILARITY = 5, 0.8
 #: A pair of this similarity shares one of BANDS bands of ROWS hashes with probability 1 - (1 - 0.8**8)**40 = 0.999.
 BANDS, ROWS = 40, 8
-#: Estimates from all BANDS * ROWS hashes have a deviation of 0.022 at this similarity; one in 2,000 pairs lies this far below.
-SLACK = 0.075
-#: Documents of a band on each side of a tile.
-TILE = 512
+#: About so many documents of a band, and bytes of their texts, on each side of a tile.
+TILE, TILE_BYTES = 512, 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -114,65 +112,86 @@ def candidates(nodes: DataFrame, met: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def still_apart(met: DataFrame, roots: DataFrame, texts: DataFrame, best: bool, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a, b) left to verify: met in a band, in different groups of roots (node, root), and maybe near.
-
-    best: of a tile, only the nearest of each other group for each document on the left.
-
-    The first and last of a band met all the others before. Of the others, those outside the band's largest group are
-    dealt to left sides of tiles, all to right sides; a band of any size so costs tasks of at most about TILE each side.
+def others(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (band, node, size) of those that met_in_bands but are neither first nor last, which met all others before."""
+    sizes = texts.select("node", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    return met.where("n > 3 AND node NOT IN (low, high)").join(sizes, "node").select("band", "node", "size")
+
+
+def joining(tile: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
+    """Links (a, b) that join all groups of a tile (node, root, left, right, text) that a near pair of left and right does."""
+    left, right = (tile.column(c).to_numpy().astype(bool) for c in ("left", "right"))
+    node, root = tile.column("node").to_numpy(), tile.column("root").to_numpy()
+    sets = [np.unique(shingle_hashes(t.as_py(), WIDTH)) for t in tile.column("text").cast(pa.binary())]
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    known, number = np.unique(np.concatenate(sets), return_inverse=True)
+    del sets
+    group = np.unique(root, return_inverse=True)[1]
+    own, both = np.zeros(len(known), np.int64), np.zeros(len(number) + 1, np.int64)
+    links = []
+    for i in np.flatnonzero(left):
+        apart = right & (group != group[i])
+        if not apart.any():
+            continue
+        mine = number[ends[i] - size[i] : ends[i]]
+        own[mine] = 1
+        np.cumsum(own[number], out=both[1:])
+        own[mine] = 0
+        equal = both[ends] - both[ends - size]
+        for j in np.flatnonzero(apart & (equal >= similarity * (size + size[i] - equal))):
+            if group[j] != group[i]:
+                links.append((max(node[i], node[j]), min(node[i], node[j])))
+                group[group == group[j]] = group[i]
+    if tile.nbytes > 1 << 20:
+        trimmed()
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"a": a, "b": b})
+
+
+def links_left(others: DataFrame, roots: DataFrame, texts: DataFrame, across: bool, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) that join different groups of roots (node, root) in a band of others (band, node, size).
+
+    Without across, each document is in one tile of its band, so a band that fits one tile is done. With it, of bands that
+    don't, those outside the band's largest group are dealt to left sides of tiles, all to right sides: every pair of
+    different groups meets, and no task has more than about TILE documents or TILE_BYTES on each side.
     """
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in portions(b)):
-            kept = [(minima(_shingles(t.as_py())) & np.uint64(0xFF)).astype(np.uint8).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(kept, pa.binary())], ["node", "sketch"])
-            _shingles.cache_clear()
-
-    def near(tile: pa.Table) -> pa.Table:
-        left = tile.column("left").to_numpy().astype(bool)
-        node, root = tile.column("node").to_numpy(), tile.column("root").to_numpy()
-        sketch = np.frombuffer(b"".join(tile.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        right, right_root, right_sketch = node[~left], root[~left], sketch[~left]
-        a, b = [], []
-        for i in np.flatnonzero(left):
-            equal = (right_sketch == sketch[i]).sum(axis=1)
-            maybe = np.flatnonzero((right_root != root[i]) & (equal >= (similarity - SLACK) * BANDS * ROWS))
-            if best:
-                maybe = maybe[np.lexsort((-equal[maybe], right_root[maybe]))]
-                maybe = maybe[np.unique(right_root[maybe], return_index=True)[1]]
-            b.append(right[maybe])
-            a.append(np.full(len(b[-1]), node[i]))
-        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    others = Stored(
-        met.where("n > 3 AND node NOT IN (low, high)")
-        .join(roots, "node", "left")
-        .select("band", "node", F.coalesce("root", "node").alias("root"))
+    held = Stored(
+        others.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
     ).df
+    tiles = lambda n, size: F.ceil(F.greatest(n / TILE, size / TILE_BYTES))
     of_band = (
-        others.groupBy("band", "root")
-        .agg(F.count("*").alias("n"))
+        held.groupBy("band", "root")
+        .agg(F.count("*").alias("n"), F.sum("size").alias("size"))
         .groupBy("band")
-        .agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
-        .where("main.n < all")
-        .select("band", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / TILE).alias("lefts"), F.ceil(F.col("all") / TILE).alias("rights"))
+        .agg(F.max(F.struct("n", "size", "root")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+        .where("main.n < n")
+        .select(
+            "band",
+            F.col("main.root").alias("main"),
+            tiles(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("lefts"),
+            tiles(F.col("n"), F.col("size")).alias("rights"),
+        )
     )
-    mixed = Stored(others.join(of_band, "band")).df
-    wanted = texts.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "text")
-    sketches_of = map_in_arrow(wanted, sketched, "node long, sketch binary")
+    mixed = held.join(of_band, "band")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     one = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n))
-    sides = (
-        mixed.where("root != main")
-        .select("band", one("lefts").alias("l"), every("rights").alias("r"), "node", "root", F.lit(True).alias("left"))
-        .unionByName(mixed.select("band", every("lefts").alias("l"), one("rights").alias("r"), "node", "root", F.lit(False).alias("left")))
-    )
+    outside, yes, no = F.col("root") != F.col("main"), F.lit(True), F.lit(False)
+    if across:
+        mixed = Stored(mixed.where("rights > 1")).df
+        sides = (
+            mixed.where(outside)
+            .select("band", one("lefts").alias("l"), every("rights").alias("r"), "node", "root", yes.alias("left"), no.alias("right"))
+            .unionByName(
+                mixed.select("band", every("lefts").alias("l"), one("rights").alias("r"), "node", "root", no.alias("left"), yes.alias("right"))
+            )
+        )
+    else:
+        sides = mixed.select("band", F.lit(0).alias("l"), one("rights").alias("r"), "node", "root", outside.alias("left"), yes.alias("right"))
     return (
-        sides.join(sketches_of, "node")
+        sides.join(texts, "node")
         .groupBy("band", "l", "r")
-        .applyInArrow(near, "a long, b long")
+        .applyInArrow(lambda tile: joining(tile, similarity), "a long, b long")
         .distinct()
     )
 
@@ -225,9 +244,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = Stored(of_node.select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))).df
     found = Stored(verified(pairs, texts, similarity)).df
     roots = Stored(connected_components(found, "a", "b")).df
-    for best in (True, False):
-        apart = Stored(still_apart(met, roots, texts, best, similarity)).df
-        further = Stored(verified(apart, texts, similarity)).df
+    inner = Stored(others(met, texts)).df
+    for across in (False, True):
+        further = Stored(links_left(inner, roots, texts, across, similarity)).df
         if not further.isEmpty():
             found = found.unionByName(further)
             roots = Stored(connected_components(found, "a", "b")).df

@@ -93,6 +93,53 @@ def test_near_duplicates(spark, docs, none, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(least.values())
 
 
+def test_near_duplicates_leave_tiles_as_links(spark, monkeypatch):
+    """A family of which most pairs are near misses: what tiles return are links between groups, not pairs to verify."""
+    import xxhash
+
+    from modelframe.llm import near_duplicates as nd
+
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(400)]
+    texts = []
+    for k in range(150):
+        text = [*common]
+        for at in rng.choice(len(text), 6, replace=False):
+            text[at] = f"n{k}x{at}"
+        texts.append(" ".join(text))
+    node = [int(np.array(xxhash.xxh64_intdigest(t.encode(), 5), np.uint64).view(np.int64)) for t in texts]
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = {
+        (max(node[i], node[j]), min(node[i], node[j]))
+        for i, a in enumerate(shingles)
+        for j, b in enumerate(shingles[:i])
+        if len(a & b) >= 0.8 * len(a | b)
+    }
+    assert 0 < len(links) < len(texts)
+    tables = []
+
+    class Kept(nd.Stored):
+        def __init__(self, df, *args):
+            super().__init__(df, *args)
+            if df.columns == ["a", "b"]:
+                tables.append([tuple(r) for r in self.df.collect()])
+
+    monkeypatch.setattr(nd, "Stored", Kept)
+    for tile in (nd.TILE, 20):
+        monkeypatch.setattr(nd, "TILE", tile)
+        tables.clear()
+        got = nd.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        group = {v: v for v in node}
+        for _ in links:
+            for a, b in links:
+                group[a] = group[b] = min(group[a], group[b])
+        assert got.count() == len(set(group.values()))
+        candidates, *later = tables
+        assert len(candidates) > len(texts)
+        for table in later:
+            assert set(table) <= links
+
+
 def test_components(spark):
     from modelframe.llm.components import connected_components
 
