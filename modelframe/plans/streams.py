@@ -167,7 +167,8 @@ def stream_throttle(spark, d):
 def stream_signals(spark, d):
     """Signals of an indicator, appended to a table as the stream runs."""
     s = Events(spark, _closed(spark, _published(spark, d)))
-    means = pubsub.running_means(s.parsed(s.stream()), "event_type", "ts", "value", (9,), late="40 days").withColumn("m", F.round("sma_9", 6))
+    means = pubsub.running_means(s.parsed(s.stream()), "event_type", "ts", "value", (9,), late="40 days")
     trend = F.when(F.col("value") > 1.5 * F.col("m"), "bullish").when(F.col("value") < 0.5 * F.col("m"), "bearish")
-    out = pubsub.drained(pubsub.signals(means, trend, F.lit(2)), _folder(spark))
+    found = means.then(lambda rows: pubsub.signals(rows.withColumn("m", F.round("sma_9", 6)), trend, F.lit(2)))
+    out = pubsub.drained(found, _folder(spark))
     return out.select("event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "trend", "strength")

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
-from collections.abc import Callable, Iterator
-from typing import Any
+import functools
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from modelframe.errors import PublishError, SubscribeError
+from modelframe.functions import windowed
 
+#: Rows of a chunk of a running window, on average.
+CHUNK = 500_000
 MESSAGE = T.StructType(
     [T.StructField("channel", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("payload", T.StringType())]
 )
@@ -119,45 +122,143 @@ def resampled(df: DataFrame, keys: list[str], ts: str, value: str, every: str =
     )
 
 
-def running(df: DataFrame, key: str, ts: str, value: str, most: int, compute: Callable[[list[float]], dict[str, float | None]], names: tuple[str, ...], late: str = "1 day") -> DataFrame:
-    """Rows (key, ts, value, *names) in the order of ts, whatever micro-batches they came in.
+class Kept:
+    """A stream whose micro-batches are worked on as batch frames, with tables kept beside the checkpoint; `drained` runs it.
 
-    Rows wait in the state until the watermark passes them and are then taken in order; the last `most - 1` values stay as
-    state. compute gets the last values up to `most` and gives the results by name. Rows without a value are passed over.
+    each gives the rows that a micro-batch adds to the result, as the schema says. It gets what came in and the Shelf of
+    the micro-batch; done again after a failure it writes the same places.
     """
-    schema = f"{key} string, {ts} timestamp, {value} double, {', '.join(f'{n} double' for n in names)}"
-
-    def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting_ts, waiting = [list(x) for x in state.get] if state.exists else ([], [], [])
-        for rows in [] if state.hasTimedOut else batches:
-            rows = rows[rows[value].notna()]
-            waiting_ts += (rows[ts].astype("datetime64[us]").astype("int64")).tolist()
-            waiting += rows[value].astype(float).tolist()
-        passed = state.getCurrentWatermarkMs() * 1000
-        order = sorted(zip(waiting_ts, waiting))
-        due = [x for x in order if x[0] <= passed]
-        later = order[len(due) :]
-        found: dict[str, list] = {n: [] for n in names}
-        for _, x in due:
-            last = [*last, x][-most:]
-            for n, y in compute(last).items():
-                found[n].append(y)
-        state.update((last[-(most - 1) :] if most > 1 else [], [t for t, _ in later], [x for _, x in later]))
-        if later:
-            state.setTimeoutTimestamp(max(later[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if due:
-            out = {key: own[0], ts: pd.to_datetime([t for t, _ in due], unit="us"), value: [x for _, x in due]}
-            yield pd.DataFrame(out | {n: pd.Series(found[n], dtype="float64") for n in names})
-
-    rows = df.select(F.col(key).cast("string").alias(key), ts, F.col(value).cast("double").alias(value)).withWatermark(ts, late)
-    state_schema = "last array<double>, waiting_ts array<long>, waiting array<double>"
-    return rows.groupBy(key).applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def running_means(df: DataFrame, key: str, ts: str, value: str, periods: tuple[int, ...], late: str = "1 day") -> DataFrame:
+
+    def __init__(self, stream: DataFrame, schema: T.StructType, each: Callable[[DataFrame, Shelf], DataFrame], *then: Callable[[DataFrame], DataFrame]):
+        self.stream, self.each, self.steps = stream, each, then
+        self.schema = self._through(stream.sparkSession.createDataFrame([], schema)).schema
+
+    def then(self, f: Callable[[DataFrame], DataFrame]) -> Kept:
+        """With f of the result rows, which sees those of one micro-batch at a time."""
+        kept = copy.copy(self)
+        kept.steps = (*self.steps, f)
+        kept.schema = f(self.stream.sparkSession.createDataFrame([], self.schema)).schema
+        return kept
+
+    def _through(self, rows: DataFrame) -> DataFrame:
+        return functools.reduce(lambda df, f: f(df), self.steps, rows)
+
+    def run(self, folder: str, out: str) -> StreamingQuery:
+        """Over all that is there now; results of a micro-batch in a directory of its own."""
+
+        def each(rows: DataFrame, batch_id: int) -> None:
+            found = self.each(rows, Shelf(rows.sparkSession, f"{folder}/kept", batch_id))
+            self._through(found).write.mode("overwrite").parquet(f"{out}/b{batch_id}")
+
+        return self.stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+class Shelf:
+    """Tables of one micro-batch, and those of earlier ones by its number."""
+
+    def __init__(self, spark: SparkSession, folder: str, batch_id: int):
+        self.spark, self.folder, self.batch_id = spark, folder, batch_id
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}/b{self.batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def get(self, name: str, schema: str | T.StructType, *batches: int) -> DataFrame:
+        """Of these micro-batches, else of the one before; without rows for the first."""
+        numbers = batches or ([self.batch_id - 1] if self.batch_id else [])
+        if not numbers:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{name}/b{n}" for n in numbers))
+
+
+def _watermark(seen: int | None, late: str, before: int | None) -> int | None:
+    """Microseconds (whole milliseconds) that lie late behind the latest time seen, never going back."""
+    found = [] if seen is None else [(seen - pd.Timedelta(late).value // 1000) // 1000 * 1000]
+    return max([*found, *([] if before is None else [before])], default=None)
+
+
+def _time(micros: int) -> Column:
+    return F.timestamp_micros(F.lit(micros))
+
+
+def running(df: DataFrame, key: str, ts: str, value: str, most: int, compute: Callable[[Column, WindowSpec], dict[str, Column]], late: str = "1 day", chunk: int = CHUNK) -> Kept:
+    """Rows (key, ts, value, results) in the order of (ts, value), whatever micro-batches they came in.
+
+    Rows wait in files until the watermark passes them. compute gives the results by name, as windows of at most `most` rows
+    over the value; the last `most - 1` rows of each key are kept for the next ones. Those due are cut into chunks of about so
+    many rows along (key, ts, value), each with the rows before it that its windows need, so a key of any size is spread and
+    nothing grows with it. Rows without a value are passed over.
+    """
+    source = df.select(F.col(key).cast("string").alias(key), ts, F.col(value).cast("double").alias(value))
+    columns, keep = [key, ts, value], max(most - 1, 1)
+    some = F.col(value).isNotNull() & ~F.isnan(value)
+    fresh = F.lit(True).alias("fresh")
+    #: The watermark, the latest time of each micro-batch whose rows still wait, and the one that wrote the kept rows last.
+    note = "watermark long, live map<long, long>, tails long"
+    row = T.StructType([source.schema[ts], source.schema[value]])
+    tail_schema = T.StructType([source.schema[key], T.StructField("tail", T.ArrayType(row))])
+
+    def computed(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(key, *by).orderBy("fresh", ts, value)
+        return rows.withColumns(compute(F.col(value), w)).where("fresh").drop("fresh", *by)
+
+    schema = computed(df.sparkSession.createDataFrame([], source.schema).select("*", fresh)).schema
+
+    def each(rows: DataFrame, shelf: Shelf) -> DataFrame:
+        past = shelf.get("note", note).first()
+        old, live, tails_of = past if past else (None, {}, None)
+        seen = Observation()
+        timed = rows.observe(seen, F.unix_micros(F.max(ts)).alias("latest"))
+        in_time = F.lit(True) if old is None else F.col(ts).isNull() | (F.col(ts) > _time(old))
+        came = shelf.put("rows", timed.where(some & in_time).sortWithinPartitions(ts))
+        latest = seen.get["latest"]
+        new = _watermark(latest, late, old)
+        if latest is not None:
+            live = live | {shelf.batch_id: latest}
+        # without a time there is nothing to wait for
+        due = came.where(F.col(ts).isNull())
+        if new is not None and new != old:
+            passed = (F.col(ts) <= _time(new)) & (F.lit(True) if old is None else F.col(ts) > _time(old))
+            due = due.unionByName(shelf.get("rows", source.schema, *live).where(passed))
+        live = {n: t for n, t in live.items() if t > new}
+        count = due.count()
+        found = shelf.spark.createDataFrame([], schema)
+        if count:
+            found = computed(windows(due, -(-count // chunk), shelf, tails_of), "chunk")
+            tails_of = shelf.batch_id
+        shelf.put("note", shelf.spark.createDataFrame([(new, live, tails_of)], note))
+        return found
+
+    def windows(due: DataFrame, chunks: int, shelf: Shelf, tails_of: int | None) -> DataFrame:
+        """The due rows by chunk, behind those of before (not fresh) that their windows need; keeps each key's last ones."""
+        cut = due.repartitionByRange(chunks, *columns) if chunks > 1 else due.coalesce(1)
+        due = shelf.put("due", cut.withColumn("chunk", F.spark_partition_id()))
+        backwards = Window.partitionBy(key, "chunk").orderBy(F.desc(ts), F.desc(value))
+        last = due.withColumn("back", F.row_number().over(backwards)).where(F.col("back") <= keep)
+        tails = last.groupBy(key, "chunk").agg(F.sort_array(F.collect_list(F.struct(ts, value))).alias("tail"))
+        if tails_of is not None:
+            tails = tails.unionByName(shelf.get("tails", tail_schema, tails_of).withColumn("chunk", F.lit(-1)))
+        along = Window.partitionBy(key).orderBy("chunk")
+        # a chunk has a row at least, so no more chunks than rows are asked for
+        ends = lambda last: _last(F.flatten(F.collect_list("tail").over(along.rowsBetween(-keep, last))), keep)
+        ended = shelf.put("ends", tails.select(key, "chunk", ends(-1).alias("before"), ends(0).alias("tail")))
+        shelf.put("tails", ended.groupBy(key).agg(F.max_by("tail", "chunk").alias("tail")))
+        before = ended.where("chunk >= 0").select(key, "chunk", F.inline("before")).withColumn("fresh", F.lit(False))
+        return due.select("*", fresh).unionByName(before).repartition(chunks, key, "chunk")
+
+    return Kept(source, schema, each)
+
+
+def _last(values: Column, n: int) -> Column:
+    """The last n of an array, or all."""
+    return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), n)
+
+
+def running_means(df: DataFrame, key: str, ts: str, value: str, periods: tuple[int, ...], late: str = "1 day") -> Kept:
     """Simple moving averages of all periods, one column sma_n each, null until n values are there."""
-    means = lambda last: {f"sma_{n}": sum(last[-n:]) / n if len(last) >= n else None for n in periods}
-    return running(df, key, ts, value, max(periods), means, tuple(f"sma_{n}" for n in periods), late)
+    means = lambda c, w: {f"sma_{n}": windowed.sma(c, w, n) for n in periods}
+    return running(df, key, ts, value, max(periods), means, late)
 
 
 def throttled(df: DataFrame, keys: list[str], ts: str, every: str = "20 seconds") -> DataFrame:
@@ -171,9 +272,19 @@ def signals(df: DataFrame, trend: Column, strength: Column | None = None, **valu
     return df.withColumns(named).where(F.col("trend").isNotNull())
 
 
-def drained(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def drained(df: DataFrame | Kept, folder: str, mode: str = "append") -> DataFrame:
     """Runs a streaming frame over all that is there now, into Parquet files in a shared folder; the result as a batch frame."""
     out = f"{folder}/out"
+    if isinstance(df, Kept):
+        df.run(folder, out).awaitTermination()
+        spark = df.stream.sparkSession
+        return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(out) if _exists(spark, out) else spark.createDataFrame([], df.schema)
     writer = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
     writer.trigger(availableNow=True).start(out).awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """False only where no micro-batch has run."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
