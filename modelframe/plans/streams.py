@@ -157,8 +157,8 @@ def stream_channels(spark, d):
 @query("SELECT event_type, min(event_id) AS event_id FROM events GROUP BY 1")
 def stream_throttle(spark, d):
     """Throttled for longer than all events last: the first of each type comes through."""
-    s = Events(spark, _published(spark, d, read(spark, d, "events").select("event_id", "ts", "event_type", "value").coalesce(1).orderBy("event_id")))
-    out = pubsub.drained(pubsub.throttled(s.parsed(s.stream()), ["event_type"], "ts", "60 days"), _folder(spark))
+    s = Events(spark, _published(spark, d))
+    out = pubsub.drained(pubsub.throttled(s.parsed(s.stream()), ["event_type"], "ts", "60 days", "event_id"), _folder(spark))
     return out.groupBy("event_type").agg(F.min("event_id").alias("event_id"))
 
 

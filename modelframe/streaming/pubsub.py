@@ -261,9 +261,43 @@ def running_means(df: DataFrame, key: str, ts: str, value: str, periods: tuple[i
     return running(df, key, ts, value, max(periods), means, late)
 
 
-def throttled(df: DataFrame, keys: list[str], ts: str, every: str = "20 seconds") -> DataFrame:
-    """The first message of each key, and no other until its time is up."""
-    return df.withWatermark(ts, every).dropDuplicatesWithinWatermark(keys)
+def throttled(df: DataFrame, keys: list[str], ts: str, every: str = "20 seconds", order: str | None = None) -> Kept:
+    """The first message of each key, and no other until the watermark has passed its time and `every` more.
+
+    Of those that come in one micro-batch the first by order (ts unless given) goes through, whatever files they are in.
+    Late messages are dropped. Only the keys that are shut are kept, with the time they open again.
+    """
+    by = order or ts
+    note = "watermark long"
+    shut_schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("_until", T.LongType())])
+
+    def same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
+        return functools.reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[f"_{c}"]) for c in columns))
+
+    def renamed(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(*(F.col(c).alias(f"_{c}") for c in columns))
+
+    def each(rows: DataFrame, shelf: Shelf) -> DataFrame:
+        past = shelf.get("note", note).first()
+        old = past["watermark"] if past else None
+        shut = shelf.get("shut", shut_schema)
+        if old is not None:
+            rows = rows.where(F.col(ts).isNull() | (F.col(ts) > _time(old)))
+            shut = shut.where(F.col("_until") > old)
+        # a minimum combines before the shuffle; whole messages only follow for those that are first
+        seen = rows.groupBy(*keys).agg(F.min(by).alias(by), F.unix_micros(F.max(ts)).alias("_latest"))
+        seen = shelf.put("seen", seen)
+        latest = seen.agg(F.max("_latest")).first()[0]
+        closed = renamed(shut, *keys)
+        firsts = renamed(seen.join(closed, same(seen, closed, *keys), "left_anti"), *dict.fromkeys([*keys, by]))
+        found = rows.join(firsts, same(rows, firsts, *dict.fromkeys([*keys, by])), "left_semi").dropDuplicates(keys)
+        found = shelf.put("first", found)
+        until = F.unix_micros(ts) + pd.Timedelta(every).value // 1000
+        shelf.put("shut", shut.unionByName(found.select(*keys, until.alias("_until"))))
+        shelf.put("note", shelf.spark.createDataFrame([(_watermark(latest, every, old),)], note))
+        return found
+
+    return Kept(df, df.schema, each)
 
 
 def signals(df: DataFrame, trend: Column, strength: Column | None = None, **values: Column) -> DataFrame:

@@ -59,3 +59,22 @@ def test_running_windows_go_on_after_each_watermark(spark):
     assert [r["value"] for r in rows] == [0.0, 1.0, 200.0, 201.0, 290.0, 300.0, 500.0]
     values = [r["value"] for r in rows]
     assert [r["sma_3"] for r in rows] == [None, None, *(sum(values[i - 2 : i + 1]) / 3 for i in range(2, 7))]
+
+
+def test_throttle_lets_the_first_of_any_file_through(spark):
+    """The first by the order asked for, not by file; the state of a key ends when the watermark has passed its time."""
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)
+    part = lambda *rows: [(k, n, at(i)) for k, n, i in rows]
+    parts = [part(("a", 9, 1), ("b", 4, 2), (None, 8, 3)), part(("a", 3, 5), ("b", 7, 1), (None, 6, 3))]
+    topic, s = _topic(spark, "key string, n long", *parts)
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    stream = lambda: pubsub.throttled(s.parsed(s.stream()), ["key"], "ts", "10 minutes", "n")
+    numbers = lambda: sorted((r["key"] or "", r["n"]) for r in pubsub.drained(stream(), folder).collect())
+    first = [("", 6), ("a", 3), ("b", 4)]
+    assert numbers() == first
+    more = lambda *rows: pubsub.Publisher(topic, "v").publish(spark.createDataFrame(part(*rows), "key string, n long, ts timestamp"), "ts")
+    more(("a", 1, 6), ("c", 30, 30))
+    assert numbers() == [*first, ("c", 30)]
+    # b and the null key opened at minutes 12 and 13, a at 15, the watermark stands at 20; what is older is late
+    more(("a", 2, 10), ("a", 40, 31), ("b", 41, 31), ("c", 42, 32))
+    assert numbers() == [("", 6), ("a", 3), ("a", 40), ("b", 4), ("b", 41), ("c", 30)]
