@@ -55,7 +55,7 @@ class ChunkTokenizer:
         vocabulary = self.model.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith(end_of_word)]] = True
-        self.parts = re.compile(_PARTS).findall
+        self.parts, self.parts_and_ends = re.compile(_PARTS).findall, re.compile(f"{_PARTS}|\n").findall
         # plain words need no normalising but lower case, and are words already: the model alone gives their ids
         self.bare = Tokenizer(self.model.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -68,34 +68,59 @@ class ChunkTokenizer:
         found = list(map(kept.get, chunks))
         missing = [k for k, ids in enumerate(found) if ids is None]
         if missing:
-            cut = [[chunks[k]] if "<|" in chunks[k] else self.parts(chunks[k]) for k in missing]
-            new = self._new({p for own in cut for p in own if p not in kept})
-            for k, own in zip(missing, cut):
-                found[k] = b"".join([new[p] if p in new else kept[p] for p in own])
+            flat, ends = self._cut([chunks[k] for k in missing])
+            for k, a, b in zip(missing, [0, *ends], ends, strict=False):
+                found[k] = flat[a:b]
             for k in np.array(missing)[np.bincount(numbers, minlength=len(chunks))[missing] > 1].tolist():
                 self._keep(chunks[k], found[k])
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return spread(starts, numbers, np.frombuffer(b"".join(found), "<u4"), sizes)
 
-    def _new(self, chunks: set[str]) -> dict[str, bytes]:
-        plain = [c for c in chunks if self.plain(c)]
-        new = {}
-        for words in ([c for c in plain if c.isascii()], [c for c in plain if not c.isascii()]):
-            if not words:
+    def _cut(self, chunks: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of chunks by their distinct parts, in order, and where each chunk's end."""
+        if any("<|" in c for c in chunks):
+            cut = [[c] if "<|" in c else self.parts(c) for c in chunks]
+            parts, ends = [p for own in cut for p in own], np.cumsum([len(own) for own in cut])
+        else:
+            # a chunk ends where white space stands in the text, so all are cut at once
+            parts = self.parts_and_ends("\n".join(chunks))
+            ends = None
+        coded = pa.array(parts, pa.large_string()).dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = list(map(self.kept.get, distinct))
+        if ends is None:
+            stop = distinct.index("\n") if len(chunks) > 1 else -1
+            if len(chunks) > 1:
+                ids[stop] = b""
+            ends = np.append(np.flatnonzero(codes == stop), len(codes))
+        new = [k for k, own in enumerate(ids) if own is None]
+        for k, own in zip(new, self._new([distinct[k] for k in new])):
+            ids[k] = own
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        values, at = spread(np.append(0, ends), codes, np.frombuffer(b"".join(ids), "<u4"), sizes)
+        return values.tobytes(), (4 * at[1:]).tolist()
+
+    def _new(self, parts: list[str]) -> list[bytes]:
+        plain = [k for k, c in enumerate(parts) if c.isalpha() and c.isascii()]
+        beyond = [k for k, c in enumerate(parts) if not c.isascii() and self.plain(c)]
+        new: list[bytes | None] = [None] * len(parts)
+        for numbers in (plain, beyond):
+            if not numbers:
                 continue
             # each is one word to the tokenizer, so their ids part where a word ends
-            joined = " ".join(words).lower()
+            joined = " ".join([parts[k] for k in numbers]).lower()
             if not joined.isascii():
                 joined = joined.encode().decode("latin-1").translate(_BYTES)
             ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
             flat = ids.tobytes()
-            new |= {w: flat[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
-            if len(ends) != len(words):
+            for k, a, b in zip(numbers, [0, *ends], ends, strict=False):
+                new[k] = flat[a:b]
+            if len(ends) != len(numbers):
                 raise ValueError("this tokenizer doesn't mark the ends of words")
-        for c in chunks:
-            if c not in new:
-                new[c] = np.array(self.model.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        for k, own in enumerate(new):
+            if own is None:
+                new[k] = np.array(self.model.encode(parts[k], add_special_tokens=False).ids, "<u4").tobytes()
         return new
 
     def _keep(self, chunk: str, ids: bytes) -> None:
